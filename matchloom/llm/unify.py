@@ -35,6 +35,8 @@ LOOK_ALIKES = {
 # Small Cyrillic letters that are drawn like small capitals only; they are no look-alikes of the letters above.
 for _letter in "вкмнт":
     LOOK_ALIKES["Cyrillic"].pop(_letter)
+# Of these, the letters that no text written in that script today is full of; Latin letters never become these.
+RARE = frozenset("ЅҮԚԜѕүԛԝһӏԁ")
 # Latin letters drawn like another Latin letter.
 LATIN_TWINS = {"Ð": "Đ", "Ɖ": "Đ", "ɑ": "a", "ɡ": "g"}
 # Letters whose texts use the capital eth as a letter of its own.
@@ -118,7 +120,7 @@ def twin_rules(script: str) -> dict[str, str]:
         for letter, latin in letters.items():
             if script == "Latin":
                 _add(rules, letter, latin)
-            elif script == other and latin not in rules:
+            elif script == other and letter not in RARE and latin not in rules:
                 rules[latin] = letter
     for c in map(chr, range(0x370, 0x530)) if script == "Latin" else ():
         base, marks = unicodedata.normalize("NFD", c)[:1], unicodedata.normalize("NFD", c)[1:]
@@ -194,8 +196,9 @@ def _script(c: str) -> str | None:
 
 
 def _twin(c: str, into: str) -> bool:
-    base = unicodedata.normalize("NFD", c)[:1]
-    return c in twin_rules(into) or base in twin_rules(into)
+    """Whether `into` has a letter drawn like c, accents included."""
+    full, twins = unicodedata.normalize("NFD", c), twin_rules(into)
+    return c in twins or (full[0] in twins and len(unicodedata.normalize("NFC", twins[full[0]] + full[1:])) == 1)
 
 
 @cache
