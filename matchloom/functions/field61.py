@@ -51,7 +51,7 @@ def trim(f: list[int]) -> list[int]:
 
 
 def monic(f: list[int]) -> list[int]:
-    inv = inverse(f[-1])
+    inv = 1 if f[-1] == 1 else inverse(f[-1])
     return [c * inv % P for c in f]
 
 
@@ -73,7 +73,7 @@ def difference(f: list[int], g: list[int]) -> list[int]:
 
 def quotient(f: list[int], g: list[int]) -> tuple[list[int], list[int]]:
     """Quotient and remainder of f by g."""
-    rest, out, inv = list(f), [0] * max(0, len(f) - len(g) + 1), inverse(g[-1])
+    rest, out, inv = list(f), [0] * max(0, len(f) - len(g) + 1), 1 if g[-1] == 1 else inverse(g[-1])
     for k in range(len(f) - len(g), -1, -1):
         c = rest[k + len(g) - 1] * inv % P
         out[k] = c
@@ -96,13 +96,24 @@ def value(f: list[int], z: int) -> int:
     return out
 
 
-def power(base: list[int], n: int, modulus: list[int]) -> list[int]:
-    out = [1]
-    for bit in bin(n)[2:]:
-        out = quotient(product(out, out), modulus)[1]
-        if bit == "1":
-            out = quotient(product(out, base), modulus)[1]
-    return out
+def square(f: list[int], modulus: list[int]) -> list[int]:
+    """f squared, modulo a monic polynomial; sums are reduced late."""
+    n = len(modulus) - 1
+    out = [0] * max(2 * len(f) - 1, n)
+    for i, a in enumerate(f):
+        if a:
+            out[2 * i] += a * a
+            a += a
+            for j in range(i + 1, len(f)):
+                out[i + j] += a * f[j]
+    low = modulus[:n]
+    for k in range(len(out) - 1, n - 1, -1):
+        c = out[k] % P
+        if c:
+            k -= n
+            for j, b in enumerate(low):
+                out[k + j] -= c * b
+    return [c % P for c in out[:n]]
 
 
 def interpolate(points: list[int], values: list[int]) -> list[int]:
@@ -119,23 +130,27 @@ def interpolate(points: list[int], values: list[int]) -> list[int]:
 
 
 def roots(f: list[int], seed: int = 1) -> list[int] | None:
-    """The roots of a monic polynomial, or None unless it splits into different linear factors."""
-    if len(f) <= 1:
-        return []
-    if len(f) == 2:
-        return [-f[0] % P]
-    if power([0, 1], P, f) != [0, 1]:
-        return None
-    rng, out, open_ = random.Random(seed), [], [f]
+    """The roots of a monic polynomial, or None where it does not split into different linear factors.
+
+    For a random shift, g(z) = z + shift keeps its value under 60 squarings exactly at the roots where g is
+    a square; the others are taken to their negative, which splits the factors into two about equal parts.
+    """
+    rng, out, open_, tries = random.Random(seed), [], [f], 64 + 16 * len(f)
     while open_:
         g = open_.pop()
-        if len(g) == 2:
-            out.append(-g[0] % P)
+        if len(g) <= 2:
+            out += [-g[0] % P] if len(g) == 2 else []
             continue
-        half = difference(power([rng.randrange(P), 1], (P - 1) // 2, g), [1])
-        part = gcd(g, half) if half else g
+        if (tries := tries - 1) < 0:
+            return None
+        shift = rng.randrange(P)
+        h = [shift, 1]
+        for _ in range(60):
+            h = square(h, g)
+        same = difference(h, [shift, 1])
+        part = gcd(g, same) if same else g
         open_ += [g] if len(part) in (1, len(g)) else [part, quotient(g, part)[0]]
-    return out
+    return out if len(set(out)) == len(f) - 1 and not any(value(f, z) for z in out) else None
 
 
 def ratio(points: list[int], values: list[int], top: int) -> tuple[list[int], list[int]]:

@@ -31,7 +31,7 @@ from matchloom.session import keep, table
 KEYS = ("submission_id", "answer_view", "makh")
 FIELDS = ("tenkh", "tongtien", "ngayhd")
 #: Rows a bucket holds on average, degree bound of the first round, further points for verification.
-BUCKET_ROWS, FIRST_BOUND, EXTRA = 64, 16, 2
+BUCKET_ROWS, FIRST_BOUND, EXTRA = 32, 8, 2
 #: Hashes a task works on at once.
 TASK_ROWS = 250_000
 #: Points lie above every hash, so no value is zero.
