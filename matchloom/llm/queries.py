@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import unify
+from matchloom.llm import leak, unify
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p2_found": unify.odd_values,
         "p2_unified": unify.unified_values,
         "p2_equal_looking": unify.equal_looking,
+        "p6_found": leak.leaking_documents,
+        "p6_items": leak.leaked_items,
     }
 
 
