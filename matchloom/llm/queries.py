@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import leak, level, unify
+from matchloom.llm import leak, level, mix, unify
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "p2_equal_looking": unify.equal_looking,
         "p6_found": leak.leaking_documents,
         "p6_items": leak.leaked_items,
+        "p7_mixture": mix.mixed_documents,
+        "p7_shares": mix.mixed_shares,
         "p8_found": level.document_levels,
         "p8_profile": level.level_profile,
     }
