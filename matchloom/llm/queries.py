@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import leak, level, mix, unify
+from matchloom.llm import canon, leak, level, mix, unify
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p2_found": unify.odd_values,
         "p2_unified": unify.unified_values,
         "p2_equal_looking": unify.equal_looking,
+        "p4_found": canon.named_entries,
+        "p4_unmatched": canon.unmatched_values,
         "p6_found": leak.leaking_documents,
         "p6_items": leak.leaked_items,
         "p7_mixture": mix.mixed_documents,
