@@ -280,9 +280,9 @@ def map_values(typed: DataFrame, entries: DataFrame, used: DataFrame, kind: str,
     # an entry the context itself uses is preferred up to half an edit
     cost = F.col("cost") - F.when(F.col("here") > 0, 0.5).otherwise(0.0)
     rank = F.struct(cost, -F.coalesce("here", F.lit(0)), -F.coalesce("anywhere", F.lit(0)), F.col("entry_id"))
-    best = ranked.groupBy("context", "value").agg(F.min_by(F.struct("entry_id", "cost"), rank).alias("best"))
-    keys = (typed["context"].eqNullSafe(best["context"])) & (typed["value"] == best["value"])
-    return typed.join(best, keys, "left").select("field_name", "map_id", typed["value"], F.col("best.entry_id").alias("entry_id"), F.col("best.cost").alias("cost"))
+    best = ranked.groupBy(F.col("context").alias("in_context"), F.col("value").alias("named")).agg(F.min_by(F.struct("entry_id", "cost"), rank).alias("best"))
+    keys = F.col("context").eqNullSafe(F.col("in_context")) & (F.col("value") == F.col("named"))
+    return typed.join(best, keys, "left").select("field_name", "map_id", "value", F.col("best.entry_id").alias("entry_id"), F.col("best.cost").alias("cost"))
 
 
 def _filled(c: str):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from matchloom.llm import canon, leak, level, mix, unify
+from matchloom.llm import canon, entity, leak, level, mix, unify
 
 
 def queries() -> dict:
     return {
+        "p1_found": entity.matched_rows,
+        "p1_matches": entity.matches,
         "p2_found": unify.odd_values,
         "p2_unified": unify.unified_values,
         "p2_equal_looking": unify.equal_looking,
