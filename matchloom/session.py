@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +16,30 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _cleaned: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need not have it installed."""
+    folder = _folder(spark)
+    if folder in _shipped:
+        return
+    _shipped.add(folder)
+    packed = io.BytesIO()
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"{root.name}/{path.relative_to(root)}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{root.name}.zip")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target.toString())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, reduced to `columns` when any are named."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -44,17 +67,22 @@ def _delete_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(drop)
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    folder = f"{shared_dir(spark)}/matchloom-{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        _delete_at_exit(spark, folder)
+    return folder
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The application's folder is deleted when the driver ends.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/matchloom-{spark.sparkContext.applicationId}"
-    if folder not in _cleaned:
-        _cleaned.add(folder)
-        _delete_at_exit(spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
