@@ -79,9 +79,9 @@ def _sketcher(bound: int):
     return run
 
 
-def sketch(side: DataFrame, bound: int) -> DataFrame:
-    """Per bucket: the number of elements and the characteristic polynomial's values. `side` is partitioned by bucket."""
-    return side.select("bucket", "element").mapInArrow(_sketcher(bound), "bucket int, size bigint, values array<bigint>")
+def sketch(side: DataFrame, bound: int, tasks: int) -> DataFrame:
+    """Per bucket: the number of elements and the characteristic polynomial's values. Whole buckets come to a task."""
+    return side.select("bucket", "element").repartition(tasks, "bucket").mapInArrow(_sketcher(bound), "bucket int, size bigint, values array<bigint>")
 
 
 def solve(size_a: int, a: list[int], size_b: int, b: list[int], bound: int) -> tuple[list[int], list[int]] | None:
@@ -117,23 +117,24 @@ def _solver(bound: int):
     return run
 
 
-def reconcile(a: DataFrame, b: DataFrame, bound: int = FIRST_BOUND) -> DataFrame:
-    """(bucket, side, element) of what only side 0 or only side 1 has. a, b: `elements`, partitioned by bucket.
+def reconcile(a: DataFrame, b: DataFrame, tasks: int, bound: int = FIRST_BOUND) -> DataFrame:
+    """(bucket, side, element) of what only side 0 or only side 1 has. a, b: `elements`.
 
     Each round rebuilds sketches of the buckets that are still open; the loop ends as a bound above
     a bucket's size always suffices.
     """
     done: list[DataFrame] = []
-    still_open: DataFrame | None = None
     while True:
-        sides = [s if still_open is None else s.join(still_open, "bucket", "left_semi") for s in (a, b)]
-        sa, sb = (sketch(s, bound) for s in sides)
+        sa, sb = (sketch(s, bound, tasks) for s in (a, b))
         both = sa.withColumnsRenamed({"size": "size_a", "values": "a"}).join(sb.withColumnsRenamed({"size": "size_b", "values": "b"}), "bucket", "full")
-        result = keep(both.mapInArrow(_solver(bound), "bucket int, side int, element bigint"), f"solved-{bound}")
+        result = keep(both.repartition(tasks, "bucket").mapInArrow(_solver(bound), "bucket int, side int, element bigint"), f"solved-{bound}")
         done.append(result.where("side IS NOT NULL"))
         still_open = result.where("side IS NULL").select("bucket")
         if still_open.isEmpty():
             return reduce(DataFrame.unionByName, done)
+        # written, as a join right below `sketch` would take the place of its repartitioning and may be
+        # changed at run time into one that leaves a bucket's rows in several tasks
+        a, b = (keep(s.join(still_open, "bucket", "left_semi"), f"open-{bound}") for s in (a, b))
         bound *= 2
 
 
@@ -146,8 +147,8 @@ def differing_rows(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KE
     buckets = max(1, total // (2 * BUCKET_ROWS))
     tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
     stored = [keep(hashed(side, keys, fields, buckets), f"rows-{i}") for i, side in enumerate((left, right))]
-    counted = [keep(elements(s), f"elements-{i}").repartition(tasks, "bucket") for i, s in enumerate(stored)]
-    found = reconcile(*counted)
+    counted = [keep(elements(s), f"elements-{i}") for i, s in enumerate(stored)]
+    found = reconcile(*counted, tasks)
     parts = []
     for side, (full, counts) in enumerate(zip(stored, counted)):
         hashes = counts.join(found.where(F.col("side") == side).select("bucket", "element"), ["bucket", "element"])
