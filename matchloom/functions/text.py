@@ -1,12 +1,14 @@
-"""Text functions on names and identifiers, as Column expressions that stay in the JVM."""
+"""Text functions on names and identifiers: Column expressions that stay in the JVM, but for the Arrow-batched common subsequence."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space at either end, as Unicode sees it.
 EDGES = r"(?U)^\s+|\s+$"
@@ -91,23 +93,22 @@ def roles_compatible(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(True))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table after the other, by nested aggregates."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    right = chars(b)
-    zero = F.transform(right, lambda _: F.lit(0))
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a whole row of the table at a time in the bits of one integer."""
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & place.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-    def next_row(row: Column, x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            above, diagonal = F.get(row, i), F.coalesce(F.get(row, i - 1), F.lit(0))
-            left = F.coalesce(F.element_at(acc, -1), F.lit(0))
-            cell = F.when(F.get(right, i) == x, diagonal + 1).otherwise(F.greatest(above, left))
-            return F.concat(acc, F.array(cell))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(right) - 1), F.array().cast("array<int>"), step)
-
-    table = F.aggregate(chars(a), zero, next_row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.coalesce(F.element_at(F.when(F.size(table) > 0, table), -1), F.lit(0)))
+@F.arrow_udf(T.IntegerType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else _lcs(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
 def indel_similarity(a: Column | str, b: Column | str) -> Column:
@@ -117,6 +118,11 @@ def indel_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(whole == 0, 100.0).otherwise(200.0 * lcs_length(a, b) / whole)
 
 
+def most_similar(a: Column, b: Column) -> Column:
+    """What `indel_similarity` can be at most, from the lengths alone."""
+    return F.coalesce(200.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(100.0))
+
+
 def fingerprint(c: Column | str) -> Column:
     """SHA-256 of the lower-case text with white space collapsed; empty for null and blank text."""
     plain = F.lower(strip(F.regexp_replace(F.coalesce(column(c), F.lit("")), r"(?U)\s+", " ")))

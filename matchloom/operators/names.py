@@ -77,11 +77,16 @@ def _resolve(names: DataFrame, ids: list[str], aliases: DataFrame, scope: list[s
     sure = sure.groupBy(*ids, "canonical").agg(F.max_by(F.struct("method", "score"), "rank").alias("m")).select(*ids, "canonical", "m.method", "m.score").withColumn("status", _status(methods))
 
     rest = given.where(F.length("normalized") > 3).join(sure.select(*ids).distinct(), ids, "left_anti")
-    # the names of one scope are few; a pair is formed only inside it
-    pairs = rest.join(small, scope) if scope else rest.crossJoin(small)
+    # names of one spelling are compared once; the names of a scope are few, and lengths alone rule out most pairs
+    spellings = rest.select(*scope, "normalized", "expanded").distinct()
+    others = small.where(F.col("method") != "natural_key_alias").select(*scope, "canonical", "spelled").distinct()
+    pairs = spellings.join(others, scope) if scope else spellings.crossJoin(others)
+    possible = F.greatest(text.most_similar(F.col("normalized"), F.col("spelled")), text.most_similar(F.col("expanded"), F.col("spelled"))) >= ambiguous * 100
     similarity = F.greatest(text.indel_similarity("normalized", "spelled"), text.indel_similarity("expanded", "spelled"))
-    scored = pairs.where(F.col("method") != "natural_key_alias").withColumn("s", similarity).groupBy(*ids, "canonical").agg(F.max("s").alias("score")).where(F.col("score") >= ambiguous * 100)
-    top = scored.withColumn("top", F.max("score").over(Window.partitionBy(*ids))).where("score = top")
+    key = [*scope, "normalized", "expanded"]
+    scored = pairs.where(possible).withColumn("s", similarity).groupBy(*key, "canonical").agg(F.max("s").alias("score")).where(F.col("score") >= ambiguous * 100)
+    top = scored.withColumn("top", F.max("score").over(Window.partitionBy(*key))).where("score = top").drop("top")
+    top = rest.select(*dict.fromkeys([*ids, *scope]), "normalized", "expanded").join(top, key)
     status = F.when(F.col("score") >= accept * 100, f"{prefix}_MATCHED_FUZZY_HIGH").otherwise(f"{prefix}_AMBIGUOUS")
     return sure.unionByName(top.select(*ids, "canonical", F.lit("fuzzy").alias("method"), "score", status.alias("status")))
 

@@ -85,4 +85,4 @@ def unmapped_identifiers(rows: DataFrame, lists: str) -> DataFrame:
 def scope_match(scope: Column, name: Column) -> Column:
     """Whether a rubric's scope means an object: equal, equal as keys, or the whole word inside the name."""
     word = F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9])\Q"), scope, F.lit(r"\E([^A-Za-z0-9]|$)"))
-    return (scope == name) | (text.view_key(scope) == text.view_key(name)) | name.rlike(word)
+    return (scope == name) | (text.view_key(scope) == text.view_key(name)) | F.rlike(name, word)

@@ -23,10 +23,14 @@ def active(rows: DataFrame, rules: Rules, column: str = "table_name") -> DataFra
 
 
 def required_tables(answer_tables: DataFrame) -> DataFrame:
-    """(answer_table, raw_answer_table, row_count): one row per canonical name, the first by object_id and name."""
+    """(answer_table, raw_answer_table, row_count): one row per canonical name, the first by object_id and name.
+
+    With a column submission_id the reference of each submission is its own.
+    """
+    own = [c for c in ("submission_id",) if c in answer_tables.columns]
     named = answer_tables.withColumn("answer_table", F.coalesce(F.when(F.col("table_name_canonical") != "", F.col("table_name_canonical")), F.col("table_name")))
     first = F.struct(F.coalesce("object_id", F.lit(0)), "table_name")
-    return named.groupBy("answer_table").agg(F.min_by("table_name", first).alias("raw_answer_table"), F.min_by("row_count", first).alias("row_count"))
+    return named.groupBy(*own, "answer_table").agg(F.min_by("table_name", first).alias("raw_answer_table"), F.min_by("row_count", first).alias("row_count"))
 
 
 def all_covered(required: DataFrame, mapped: DataFrame, by: list[str], key: str, groups: DataFrame) -> DataFrame:
@@ -39,7 +43,8 @@ def all_covered(required: DataFrame, mapped: DataFrame, by: list[str], key: str,
 
 def table_mapping(answer_tables: DataFrame, student_tables: DataFrame, rules: Rules) -> DataFrame:
     """The table mapping of every submission: matches, competing ones made ambiguous, extra and missing tables."""
-    required = required_tables(active(answer_tables, rules)).select("answer_table", "raw_answer_table")
+    required = required_tables(active(answer_tables, rules)).drop("row_count")
+    own = [c for c in ("submission_id",) if c in required.columns]
     students = active(student_tables, rules).select("submission_id", "table_name").distinct()
     mapped = names.map_tables(students, rules.names)
     rivals = F.count(F.when(F.col("match_status").isin(*ACCEPTED_TABLES), 1)).over(Window.partitionBy("submission_id", "answer_table"))
@@ -59,16 +64,16 @@ def table_mapping(answer_tables: DataFrame, student_tables: DataFrame, rules: Ru
     )
     groups = students.select("submission_id").distinct()
     taken = mapped.where("answer_table IS NOT NULL").select("submission_id", "answer_table").distinct()
-    full = all_covered(required.select("answer_table"), taken, ["submission_id"], "answer_table", groups).withColumn("full", F.lit(True))
+    full = all_covered(required.select(*own, "answer_table"), taken, ["submission_id"], "answer_table", groups).withColumn("full", F.lit(True))
     extra = (F.col("match_status") == "TABLE_UNMAPPED") & F.coalesce("full", F.lit(False))
     mapped = (
         mapped.join(full, "submission_id", "left")
         .withColumn("match_status", F.when(extra, "TABLE_EXTRA_STUDENT").otherwise(F.col("match_status")))
         .withColumn("review_required", F.col("review_required") & ~(F.col("match_status") == "TABLE_EXTRA_STUDENT"))
         .drop("full")
-        .join(F.broadcast(required), "answer_table", "left")
+        .join(required, [*own, "answer_table"], "left")
     )
-    missing = groups.crossJoin(F.broadcast(required)).join(taken, ["submission_id", "answer_table"], "left_anti").select(
+    missing = (groups.join(required, own) if own else groups.crossJoin(F.broadcast(required))).join(taken, ["submission_id", "answer_table"], "left_anti").select(
         "submission_id", "answer_table", "raw_answer_table", F.lit("TABLE_MISSING_ANSWER").alias("match_status"), F.lit(0.0).alias("match_score"),
         F.lit(True).alias("review_required"), text.normalize_key("answer_table").alias("normalized_key"),
     )

@@ -90,3 +90,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the known row count is within the bound; otherwise leave the join to the shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores, for work that costs far more than moving its rows.
+
+    A scan that already has that many partitions, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
