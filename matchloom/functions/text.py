@@ -39,6 +39,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(column(c), EDGES, "")
 
@@ -74,8 +79,9 @@ def expand_abbreviations(cleaned: Column, abbreviations: dict[str, str]) -> Colu
     for short, full in abbreviations.items():
         short, full = short.lower(), full.lower().replace("$", "\\$")
         literal = r"\Q" + short + r"\E"
-        longer = reduce(lambda c, p: F.regexp_replace(c, p, full), (rf"\b{literal}\b", rf"{literal}$", rf"^{literal}"), out)
-        out = F.when(out == short, F.lit(full)).otherwise(longer)
+        patterns = (rf"\b{literal}\b", rf"{literal}$", rf"^{literal}")
+        longer = lambda c, patterns=patterns, full=full: reduce(lambda x, p: F.regexp_replace(x, p, full), patterns, c)
+        out = let(out, lambda c, short=short, full=full, longer=longer: F.when(c == short, F.lit(full)).otherwise(longer(c)))
     return F.regexp_replace(out, r"[_\s-]+", "")
 
 
@@ -84,7 +90,7 @@ def column_role(c: Column | str) -> Column:
     name = F.lower(column(c))
     out = F.lit(None).cast("string")
     for role, marks in reversed(ROLES):
-        hit = reduce(lambda a, b: a | b, (name.contains(m) for m in marks))
+        hit = name.rlike("|".join(marks))
         out = F.when(hit & ~name.contains("tongtien") if role == "dongia" else hit, role).otherwise(out)
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from matchloom.config import NameRules
 from matchloom.functions import text
+from matchloom.session import keep
 
 #: Methods of tables and columns with their status and rank (the higher is preferred).
 TABLE_METHODS = {"exact": ("TABLE_MATCHED_EXACT", 5), "alias": ("TABLE_MATCHED_ALIAS", 4), "abbreviation": ("TABLE_MATCHED_ABBREVIATION", 3), "weak_alias": ("TABLE_MATCHED_WEAK_ALIAS", 2)}
@@ -94,7 +95,7 @@ def _resolve(names: DataFrame, ids: list[str], aliases: DataFrame, scope: list[s
 def map_tables(tables: DataFrame, rules: NameRules) -> DataFrame:
     """One row per (submission_id, table_name): answer_table, match_status, match_method, match_score, candidates and key forms."""
     ids = ["submission_id", "table_name"]
-    keyed = with_keys(tables, "table_name", rules)
+    keyed = keep(with_keys(tables, "table_name", rules), "table-keys")
     found = _resolve(keyed, ids, table_aliases(tables.sparkSession, rules), [], TABLE_METHODS, rules.table_accept, rules.table_ambiguous, "TABLE")
     best = found.groupBy(*ids).agg(F.array_sort(F.collect_set("canonical")).alias("candidates"), F.first(F.struct("method", "status", "score")).alias("m"))
     single = F.size("candidates") == 1
@@ -120,7 +121,7 @@ def map_columns(columns: DataFrame, expected: DataFrame, rules: NameRules) -> Da
     A match whose role contradicts the reference column's is incompatible and counts only if no other is left.
     """
     ids = ["submission_id", "answer_table", "student_table", "column_name"]
-    keyed = with_keys(columns, "column_name", rules)
+    keyed = keep(with_keys(columns.select(*ids).distinct(), "column_name", rules), "column-keys")
     found = _resolve(keyed, ids, column_aliases(expected, rules), ["answer_table"], COLUMN_METHODS, rules.column_accept, rules.column_ambiguous, "COLUMN")
     fits = text.roles_compatible(text.column_role("canonical"), text.column_role("column_name"))
     guarded = found.withColumn("fits", fits)

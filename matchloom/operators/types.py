@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom.config import TypeRules
-from matchloom.functions.text import column
+from matchloom.functions.text import column, let
 
 # Types of each group.
 GROUPS = {
@@ -35,8 +35,8 @@ def bare_type(c: Column | str) -> Column:
 
 
 def type_group(c: Column | str) -> Column:
-    bare = bare_type(c)
-    return reduce(lambda rest, g: F.when(bare.isin(*GROUPS[g]), g).otherwise(rest), GROUPS, F.lit("unknown"))
+    known = F.create_map(*[F.lit(x) for g, names in GROUPS.items() for t in names for x in (t, g)])
+    return F.coalesce(F.try_element_at(known, bare_type(c)), F.lit("unknown"))
 
 
 def whole_decimal(c: Column | str, scale: Column | None = None) -> Column:
@@ -65,22 +65,30 @@ def compare_types(
 ) -> Column:
     """Struct (answer_group, student_group, type_status, type_score) of two types of one column."""
     rules = rules or TypeRules()
-    a, s = bare_type(answer), bare_type(student)
-    ga, gs = type_group(answer), type_group(student)
-
-    def key_kind(t: Column | str, group: Column, scale: Column | None) -> Column:
-        return F.when(group == "integer", "integer").when((group == "text") & bare_type(t).isin(*KEY_TEXT), "text").when(whole_decimal(t, scale), "whole")
-
-    pair = lambda x, y: ((ga == x) & (gs == y)) | ((ga == y) & (gs == x))
-    keys_fit = F.coalesce(key_kind(answer, ga, answer_scale) != key_kind(student, gs, student_scale), F.lit(False))
-    warned = [p for p, on in ((pair("fixed_decimal", "floating"), rules.decimal_float), (pair("integer", "fixed_decimal"), rules.integer_decimal), (pair("boolean", "integer"), rules.bit_integer)) if on]
-    status = F.when(a == s, "TYPE_MATCH_EXACT")
-    if rules.mode != "exact":
-        status = status.when((ga == gs) & (ga != "unknown"), "TYPE_MATCH_GROUP")
-        if rules.identifier_integer_text:
-            status = status.when(is_identifier(name, in_key, rules.identifiers) & keys_fit, "TYPE_IDENTIFIER_COMPATIBLE_WARNING")
-        for p in warned:
-            status = status.when(p, "TYPE_COMPATIBLE_WARNING")
-    status = status.otherwise("TYPE_MISMATCH")
-    score = F.when(status.startswith("TYPE_MATCH"), 1.0).when(status == "TYPE_MISMATCH", 0.0).otherwise(rules.warning_score)
-    return F.struct(ga.alias("answer_group"), gs.alias("student_group"), status.alias("type_status"), score.alias("type_score"))
+    identifier = is_identifier(name, in_key, rules.identifiers)
+    sides = F.struct(
+        bare_type(answer).alias("a"), bare_type(student).alias("s"), type_group(answer).alias("ga"), type_group(student).alias("gs"),
+        whole_decimal(answer, answer_scale).alias("wa"), whole_decimal(student, student_scale).alias("ws"), identifier.alias("key"),
+    )
+
+    def key_kind(bare: Column, group: Column, whole: Column) -> Column:
+        return F.when(group == "integer", "integer").when(bare.isin(*KEY_TEXT), "text").when(whole, "whole")
+
+    def judge(t: Column) -> Column:
+        pair = lambda x, y: F.array_sort(F.array(t["ga"], t["gs"])) == F.array(*map(F.lit, sorted((x, y))))
+        status = F.when(t["a"] == t["s"], "TYPE_MATCH_EXACT")
+        if rules.mode != "exact":
+            status = status.when((t["ga"] == t["gs"]) & (t["ga"] != "unknown"), "TYPE_MATCH_GROUP")
+            if rules.identifier_integer_text:
+                fit = key_kind(t["a"], t["ga"], t["wa"]) != key_kind(t["s"], t["gs"], t["ws"])
+                status = status.when(t["key"] & F.coalesce(fit, F.lit(False)), "TYPE_IDENTIFIER_COMPATIBLE_WARNING")
+            for allowed, x, y in ((rules.decimal_float, "fixed_decimal", "floating"), (rules.integer_decimal, "integer", "fixed_decimal"), (rules.bit_integer, "boolean", "integer")):
+                if allowed:
+                    status = status.when(pair(x, y), "TYPE_COMPATIBLE_WARNING")
+        return F.struct(t["ga"].alias("answer_group"), t["gs"].alias("student_group"), status.otherwise("TYPE_MISMATCH").alias("type_status"))
+
+    def with_score(t: Column) -> Column:
+        score = F.when(t["type_status"].startswith("TYPE_MATCH"), 1.0).when(t["type_status"] == "TYPE_MISMATCH", 0.0).otherwise(rules.warning_score)
+        return F.struct(t["answer_group"].alias("answer_group"), t["student_group"].alias("student_group"), t["type_status"].alias("type_status"), score.alias("type_score"))
+
+    return let(let(sides, judge), with_score)
