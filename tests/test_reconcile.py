@@ -1,0 +1,112 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from matchloom.functions import field61 as f
+from matchloom.operators import reconcile as R
+
+COLUMNS = "submission_id string, answer_view string, makh string, tenkh string, tongtien double, ngayhd string"
+
+
+@given(st.integers(0, f.P - 1), st.integers(0, f.P - 1))
+def test_product(a, b):
+    assert int(f.mul(np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64))[0]) == a * b % f.P
+
+
+@given(st.lists(st.lists(st.integers(0, f.P - 1), min_size=1, max_size=9), min_size=1, max_size=5))
+def test_segments(groups):
+    flat = np.array([x for g in groups for x in g], dtype=np.uint64)
+    starts = np.cumsum([0, *[len(g) for g in groups[:-1]]])
+    expected = []
+    for g in groups:
+        p = 1
+        for x in g:
+            p = p * x % f.P
+        expected.append(p)
+    assert f.segment_products(flat, starts).tolist() == expected
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 6), st.integers(0, 6), st.integers(0, 40), st.integers(0, 10**6))
+def test_solve(only_a, only_b, common, seed):
+    rng = random.Random(seed)
+    draw = lambda n: [rng.randrange(R._TOP) for _ in range(n)]
+    both, a, b = draw(common), draw(only_a), draw(only_b)
+
+    def sketch(s, bound):
+        if not s:
+            return [1] * (bound + R.EXTRA)
+        e = np.array(s, dtype=np.uint64)
+        return [int(f.segment_products(f.minus(z, e), np.array([0]))[0]) for z in R.points(bound + R.EXTRA)]
+
+    bound = 16
+    got = R.solve(common + only_a, sketch(both + a, bound), common + only_b, sketch(both + b, bound), bound)
+    assert got is not None and set(got[0]) == set(a) and set(got[1]) == set(b)
+    if only_a + only_b > 4:
+        assert R.solve(common + only_a, sketch(both + a, 4), common + only_b, sketch(both + b, 4), 4) is None
+
+
+def test_roots():
+    xs = [3, 5, 2**60, 12345678901]
+    g = [1]
+    for x in xs:
+        g = f.product(g, [-x % f.P, 1])
+    assert set(f.roots(g)) == set(xs)
+    assert f.roots(f.product([-7 % f.P, 1], [-7 % f.P, 1])) is None
+
+
+def side(spark, rows):
+    return spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'x' AS bucket_note", "1 AS net_extra").drop("bucket_note", "net_extra")
+
+
+def found(spark, a, b):
+    diff = R.differing_rows(R.canonical_output(side(spark, a)), R.canonical_output(side(spark, b)))
+    return diff, sorted(((r["submission_id"], r["answer_view"], r["makh"], r["diff"]) for r in R.field_differences(diff).collect()), key=str)
+
+
+def row(k, t="An", m=1.0, d="2024-01-02", s="s", v="v"):
+    return (s, v, k, t, m, d)
+
+
+def test_fields_and_sides(spark):
+    a = [row("k1"), row("k2", m=100.123), row("k3", "  Hà  Nội "), row("k4", d="2024-1-2"), row("k5"), row("k5"), row("k6"), row("k7", None, None, None), row("k8"), row(None)]
+    b = [row(" K1 "), row("k2", m=100.12), row("k3", "hà nội"), row("k4", d="2024-01-02 00:00:00"), row("k5"), row("k7", None, float("nan"), None), row("k8", "Bình", 2.0), row(None, m=None), row("k9")]
+    _, got = found(spark, a, b)
+    expected = [("K5", "answer_only"), ("K6", "answer_only"), ("K8", "tenkh"), ("K8", "tongtien"), (None, "tongtien"), ("K9", "student_only")]
+    assert got == sorted((("s", "v", *e) for e in expected), key=str)
+
+
+def test_swapped_values(spark):
+    _, got = found(spark, [row("k", "An", 1.0), row("k", "Ba", 2.0)], [row("k", "An", 2.0), row("k", "Ba", 1.0)])
+    assert got == [("s", "v", "K", "tongtien")]
+
+
+def test_empty_sides(spark):
+    assert found(spark, [], [])[1] == []
+    assert found(spark, [row("a")], [])[1] == [("s", "v", "A", "answer_only")]
+    assert found(spark, [], [row("a")])[1] == [("s", "v", "A", "student_only")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_counters(spark, seed):
+    rng = random.Random(seed)
+    make = lambda: row(f"k{rng.randrange(40)}", rng.choice(["An", "Bình", None, "x" * 5000]), rng.choice([1.0, 2.5, None]), rng.choice(["2024-01-02", "2024-1-3", None]), f"s{rng.randrange(3)}")
+    a = [make() for _ in range(500)] + [row("hot")] * 400
+    b = a[:450] + [make() for _ in range(60)] + [row("hot")] * 250
+    rng.shuffle(b)
+    diff, _ = found(spark, a, b)
+    plain = lambda rows: Counter((r[0], r[1], r[2].upper(), r[3] and r[3].lower(), r[4], r[5] and r[5].replace("-1-3", "-01-03")) for r in rows)
+    ca, cb = plain(a), plain(b)
+    expected = {k: ca[k] - cb[k] for k in ca | cb if ca[k] != cb[k]}
+    got = {tuple(r)[:6]: r["net"] for r in diff.collect()}
+    assert got == expected
+
+
+def test_many_rounds(spark):
+    a, b = [row(f"k{i}") for i in range(300)], [row(f"k{i}", m=3.0) for i in range(300)]
+    _, got = found(spark, a, b)
+    assert len(got) == 300 and {x[3] for x in got} == {"tongtien"}
