@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import table
+from matchloom.session import spread, table
 
 #: Words of a seed, words the tiles of a passage must hold, words a passage may skip at once.
 SEED, PASSAGE, SKIP = 3, 13, 3
@@ -204,7 +204,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 rows = [(d, *hit) for d, t in zip(frame["doc_id"], frame["text"]) if t for hit in leaked(index.value, t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passage_words", "covered"])
 
-        passes.append(documents.select("doc_id", "text").mapInPandas(search, "doc_id bigint, item_id bigint, passage_words int, covered double"))
+        passes.append(spread(documents.select("doc_id", "text")).mapInPandas(search, "doc_id bigint, item_id bigint, passage_words int, covered double"))
     return reduce(DataFrame.unionByName, passes)
 
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import table
+from matchloom.session import spread, table
 
 #: Labelled documents the models are fitted on at most, and levels of the scale.
 LABELLED, LEVELS = 4_000, 4
@@ -234,7 +234,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, bound: int = LABELLE
                     p = model.value.distribution([s for _, s in found])
                     yield pd.DataFrame({"doc_id": [i for i, _ in found], "reading_level": p.argmax(axis=1) + 1, "confidence": p.max(axis=1), "sentences": [len(s) for _, s in found]})
 
-    return documents.select("doc_id", "text").mapInPandas(judge, schema)
+    return spread(documents.select("doc_id", "text")).mapInPandas(judge, schema)
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from matchloom.session import keep, table
+from matchloom.session import keep, spread, table
 
 #: Folder of the public tokenizers' vocabulary files, and the file used.
 TOKENIZERS = os.environ.get("MATCHLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -89,7 +89,7 @@ def measured(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}
     """(doc_id, source, tokens, draw, bin) of (doc_id, source, text): one pass over the texts, kept."""
     bins = max(1, documents.count() // BIN_ROWS)
     draw = exponential_key(F.col("doc_id"), F.col("quality"), seed)
-    sized = documents.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens"), quality(F.col("text")).alias("quality"))
+    sized = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens"), quality(F.col("text")).alias("quality"))
     keyed = sized.select("doc_id", "source", "tokens", draw.alias("draw"))
     return keep(keyed.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("draw") / 2)) * bins), F.lit(bins - 1)).cast("int")), "tokens")
 
