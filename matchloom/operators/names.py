@@ -77,6 +77,7 @@ def _resolve(names: DataFrame, ids: list[str], aliases: DataFrame, scope: list[s
         sure = sure.withColumn("top", F.max("rank").over(best)).where("rank = top").drop("top")
     sure = sure.groupBy(*ids, "canonical").agg(F.max_by(F.struct("method", "score"), "rank").alias("m")).select(*ids, "canonical", "m.method", "m.score").withColumn("status", _status(methods))
 
+    sure = keep(sure, "sure")
     rest = given.where(F.length("normalized") > 3).join(sure.select(*ids).distinct(), ids, "left_anti")
     # names of one spelling are compared once; the names of a scope are few, and lengths alone rule out most pairs
     spellings = rest.select(*scope, "normalized", "expanded").distinct()

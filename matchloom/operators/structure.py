@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from matchloom.config import Rules
 from matchloom.functions import text
 from matchloom.operators import names, types
+from matchloom.session import keep
 
 ACCEPTED_TABLES = ("TABLE_MATCHED_EXACT", "TABLE_MATCHED_ALIAS", "TABLE_MATCHED_ABBREVIATION", "TABLE_MATCHED_FUZZY_HIGH", "TABLE_MATCHED_WEAK_ALIAS")
 ACCEPTED_COLUMNS = ("COLUMN_MATCHED_EXACT", "COLUMN_MATCHED_ALIAS", "COLUMN_MATCHED_ABBREVIATION", "COLUMN_MATCHED_FUZZY_HIGH", "COLUMN_MATCHED_WEAK_ALIAS")
@@ -46,7 +47,7 @@ def table_mapping(answer_tables: DataFrame, student_tables: DataFrame, rules: Ru
     required = required_tables(active(answer_tables, rules)).drop("row_count")
     own = [c for c in ("submission_id",) if c in required.columns]
     students = active(student_tables, rules).select("submission_id", "table_name").distinct()
-    mapped = names.map_tables(students, rules.names)
+    mapped = keep(names.map_tables(students, rules.names), "tables")  # several branches read it below
     rivals = F.count(F.when(F.col("match_status").isin(*ACCEPTED_TABLES), 1)).over(Window.partitionBy("submission_id", "answer_table"))
     compete = F.col("match_status").isin(*ACCEPTED_TABLES) & (F.col("rivals") > 1)
     mapped = mapped.withColumn("rivals", rivals)
@@ -88,7 +89,8 @@ def column_mapping(table_map: DataFrame, answer_columns: DataFrame, student_colu
     pairs = table_map.where(F.col("match_status").isin(*ACCEPTED_TABLES)).select("submission_id", "answer_table", "student_table", (F.col("match_status") == "TABLE_MATCHED_WEAK_ALIAS").alias("weak"))
     expected = active(answer_columns, rules).select(F.coalesce("table_name_canonical", "table_name").alias("answer_table"), "column_name", F.col("data_type").alias("answer_type"), F.col("scale").alias("answer_scale")).dropDuplicates(["answer_table", "column_name"])
     own = student_columns.select("submission_id", F.col("table_name").alias("student_table"), "column_name", F.col("data_type").alias("student_type"), F.col("scale").alias("student_scale"))
-    mapped = names.map_columns(own.join(pairs, ["submission_id", "student_table"]), expected, rules.names)
+    pairs = keep(pairs, "pairs")
+    mapped = keep(names.map_columns(own.join(pairs, ["submission_id", "student_table"]), expected, rules.names), "columns")
     mapped = mapped.join(pairs, ["submission_id", "answer_table", "student_table"]).join(own, ["submission_id", "student_table", "column_name"])
     matched = F.col("match_status").isin(*ACCEPTED_COLUMNS)
     weak = matched & F.col("weak")
