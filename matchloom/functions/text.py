@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -71,17 +71,26 @@ def normalize_key(c: Column | str) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\w\s]", ""), r"(?U)[\s_–-]+", ""), F.lit(""))
 
 
+def _spelled_out(short: str, full: str):
+    """Replaces an abbreviation that is the whole name, or else a word, the end or the beginning of it."""
+    literal, safe = r"\Q" + short + r"\E", full.replace("$", "\\$")
+
+    def replace(c: Column) -> Column:
+        longer = c
+        for pattern in (rf"\b{literal}\b", rf"{literal}$", rf"^{literal}"):
+            longer = F.regexp_replace(longer, pattern, safe)
+        return F.when(c == short, F.lit(full)).otherwise(longer)
+
+    return replace
+
+
 def expand_abbreviations(cleaned: Column, abbreviations: dict[str, str]) -> Column:
     """Abbreviations spelled out, in their given order, then separators dropped."""
     out = cleaned
     for pattern in (r"\bct[_\s]+", r"\bct\b", r"^ct(?=[a-z])"):
         out = F.regexp_replace(out, pattern, "chitiet")
     for short, full in abbreviations.items():
-        short, full = short.lower(), full.lower().replace("$", "\\$")
-        literal = r"\Q" + short + r"\E"
-        patterns = (rf"\b{literal}\b", rf"{literal}$", rf"^{literal}")
-        longer = lambda c, patterns=patterns, full=full: reduce(lambda x, p: F.regexp_replace(x, p, full), patterns, c)
-        out = let(out, lambda c, short=short, full=full, longer=longer: F.when(c == short, F.lit(full)).otherwise(longer(c)))
+        out = let(out, _spelled_out(short.lower(), full.lower()))
     return F.regexp_replace(out, r"[_\s-]+", "")
 
 
