@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from matchloom.session import spread, table
 
 #: Labelled documents the models are fitted on at most, and levels of the scale.
-LABELLED, LEVELS = 4_000, 4
+LABELLED, LEVELS = 6_000, 4
 #: Sentences of running prose a document needs, and words a sentence needs with and without a full stop.
 LEAST, STOPPED, OPEN = 3, 3, 5
 #: Hashed features per model, character n-gram lengths, passes over the sample, penalty, sentences a step.
-WIDTH, GRAMS, EPOCHS, L2, STEP = 1 << 16, (3, 4, 5), 8, 1e-5, 256
+WIDTH, GRAMS, EPOCHS, L2, STEP = 1 << 16, (3, 4, 5), 5, 1e-5, 256
 #: Documents scored at once in a task.
 CHUNK = 200
 
@@ -80,7 +80,7 @@ def char_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     index, owners = np.concatenate(index), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return index[order].astype(np.int64), np.bincount(owners, minlength=len(texts))
+    return index[order].astype(np.int32), np.bincount(owners, minlength=len(texts))
 
 
 def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own += [zlib.crc32(f"\1length {min(12, len(ws) // 4)}".encode()) % WIDTH, zlib.crc32(f"\1commas {min(4, t.count(','))}".encode()) % WIDTH]
         index += own
         sizes.append(len(own))
-    return np.array(index, dtype=np.int64), np.array(sizes, dtype=np.int64)
+    return np.array(index, dtype=np.int32), np.array(sizes, dtype=np.int64)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -153,15 +153,17 @@ class SentenceModel:
 
 
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document, from its sentences' distributions: mean, spread, shares of the levels, mean log odds."""
+    """Per document, from its sentences' distributions: mean, spread, shares of the levels, mean and summed log odds."""
     starts = np.cumsum(sizes) - sizes
     mean = np.add.reduceat(p, starts, axis=0) / sizes[:, None]
     share = np.add.reduceat(np.eye(LEVELS)[p.argmax(axis=1)], starts, axis=0) / sizes[:, None]
-    logs = np.add.reduceat(np.log(p + 1e-3), starts, axis=0) / sizes[:, None]
+    sums = np.add.reduceat(np.log(p + 1e-3), starts, axis=0)
+    logs = sums / sizes[:, None]
+    sums = sums - sums.max(axis=1, keepdims=True)
     level = p @ np.arange(1, LEVELS + 1)
     first = np.add.reduceat(level, starts) / sizes
     spread = np.sqrt(np.maximum(0, np.add.reduceat(level**2, starts) / sizes - first**2))
-    return np.column_stack([mean, share, logs / 4, first / LEVELS, spread, np.ones(len(sizes))])
+    return np.column_stack([mean, share, logs / 4, np.maximum(sums, -30) / 10, first / LEVELS, spread, np.ones(len(sizes))])
 
 
 def fit_dense(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 600) -> np.ndarray:
@@ -188,7 +190,7 @@ class LevelModel:
             own = np.flatnonzero(half == h)
             flat = [s for i in own for s in texts[i]]
             self.halves.append(SentenceModel().fit(flat, np.repeat(target[own], [len(texts[i]) for i in own], axis=0), seed=h + 1))
-        x = np.zeros((len(texts), 3 * LEVELS + 3))
+        x = np.zeros((len(texts), 4 * LEVELS + 3))
         for h in (0, 1):
             other = np.flatnonzero(half != h)
             if len(other):
