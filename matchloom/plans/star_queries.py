@@ -396,6 +396,51 @@ def seed_values(spark, d):
     return table(spark, d, "chitietbanhang", "row_id", "soluong", "dongia").select("row_id", text.parse_value("soluong").alias("soluong"), text.safe_double("dongia").alias("dongia"))
 
 
+# --- lists, keys and latest entries of the reports ---
+
+
+@query("SELECT submission_id, answer_view, arg_max(status, (tested_at, test_id)) AS status FROM view_test_report GROUP BY 1, 2")
+def latest_entry(spark, d):
+    rows = table(spark, d, "view_test_report", "submission_id", "answer_view", "status", "tested_at", "test_id")
+    return rows.groupBy("submission_id", "answer_view").agg(F.max_by("status", F.struct("tested_at", "test_id")).alias("status"))
+
+
+@query("SELECT submission_id, identifier, count(*) AS n FROM (SELECT submission_id, unnest(list_filter(list_transform(string_split(coalesce(matched_columns, ''), ';'), lambda x: trim(x)), lambda x: x <> '')) AS identifier FROM view_test_report) GROUP BY 1, 2")
+def listed_identifiers(spark, d):
+    rows = score.unmapped_identifiers(table(spark, d, "view_test_report", "submission_id", "matched_columns"), "matched_columns")
+    return rows.groupBy("submission_id", "identifier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT test_id, regexp_replace(lower(answer_view), '[^a-z0-9]', '', 'g') = regexp_replace(lower(student_view), '[^a-z0-9]', '', 'g') AS hint FROM view_test_report")
+def name_hints(spark, d):
+    return table(spark, d, "view_test_report", "test_id", "answer_view", "student_view").select("test_id", (text.view_key("answer_view") == text.view_key("student_view")).alias("hint"))
+
+
+@query("SELECT canonical_name, regexp_matches(lower(canonical_name), 'ma|id|code|key') AS identifier FROM canonical_names WHERE kind = 'column'")
+def identifier_columns(spark, d):
+    return table(spark, d, "canonical_names").where("kind = 'column'").select("canonical_name", types.is_identifier("canonical_name").alias("identifier"))
+
+
+@query("SELECT map_id FROM table_mapping_report WHERE lower(raw_student_table) NOT IN ('sysdiagrams', 'test_sheet', 'taixe')")
+def exclusion_filter(spark, d):
+    rules = Rules(names=NameRules(excluded_tables=("sysdiagrams", "test_sheet", "TaiXe")))
+    return structure.active(table(spark, d, "table_mapping_report", "map_id", "raw_student_table"), rules, "raw_student_table").select("map_id")
+
+
+@query(
+    "SELECT submission_id, max(CASE WHEN r = 1 THEN student_view END) AS best, max(CASE WHEN r = 2 THEN student_view END) AS second FROM (SELECT submission_id, student_view, row_number() OVER (PARTITION BY submission_id ORDER BY total_match_score DESC, test_id) AS r FROM view_test_report WHERE total_match_score IS NOT NULL AND student_view IS NOT NULL) GROUP BY 1"
+)
+def best_two_views(spark, d):
+    rows = table(spark, d, "view_test_report", "submission_id", "student_view", "total_match_score", "test_id").where("total_match_score IS NOT NULL AND student_view IS NOT NULL")
+    return assign.best_two(rows, ["submission_id"], tie="test_id").select("submission_id", "best", "second")
+
+
+@query("SELECT makh, count(*) AS n, count(tenkh) AS named FROM (SELECT upper(trim(makh)) AS makh, nullif(trim(tenkh), '') AS tenkh FROM khachhang) GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    rows = table(spark, d, "khachhang", "makh", "tenkh").select(F.upper(F.trim("makh")).alias("makh"), F.nullif(F.trim("tenkh"), F.lit("")).alias("tenkh"))
+    return rows.groupBy("makh").agg(F.count(F.lit(1)).alias("n"), F.count("tenkh").alias("named")).where("n > 1")
+
+
 # --- candidate SQL ---
 
 

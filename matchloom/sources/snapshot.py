@@ -152,10 +152,6 @@ def latest_manifest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("submission_id").agg(F.max_by(F.struct(*rest), newest).alias("e")).select("submission_id", "e.*")
 
 
-# Suffixes that are no candidate files.
-SKIPPED = (".tmp", ".lock", ".log", ".txt", ".md", ".csv", ".json", ".ldf", ".xml")
-
-
 def candidate_files(files: DataFrame, suffixes: tuple[str, ...] = (".bak",)) -> DataFrame:
     """Files (path, length, modificationTime) that may be a submission, with a reason for those that may not."""
     name = F.element_at(F.split("path", "/"), -1)
