@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _cleaned: set[str] = set()
 _shipped: set[str] = set()
