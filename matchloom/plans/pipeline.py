@@ -89,17 +89,49 @@ def summary(reports: Mapping[str, DataFrame]) -> DataFrame:
     return score.conditional_counters(rows, ["submission_id"], counters).join(score.priority_status(rows, ["submission_id"], order), "submission_id")
 
 
-_SCORES = "submission_id string, expected_view string, student_view string, candidate_status string, matched_columns int, expected_columns int, row_count_answer bigint, row_count_student bigint, value_mismatch_count bigint, order_mismatch_count int, hint_score int, ordinal int, ordered boolean"
+_SCORES = "submission_id string, expected_view string, student_view string, candidate_status string, matched_columns int, expected_columns int, row_count_answer bigint, row_count_student bigint, value_mismatch_count bigint, order_mismatch_count bigint, hint_score int, ordinal int, ordered boolean"
+
+
+#: Column with a row's position, beside the expected ones.
+_POSITION = "_position"
+
+
+def _in_order(df: DataFrame) -> bool:
+    """Whether the query ends in an ORDER BY of the whole output; without one, its rows have no order."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "GlobalLimit", "LocalLimit", "Offset"):
+        node = node.children().head()
+    return node.nodeName() == "Sort" and bool(getattr(node, "global")())
+
+
+def _view_metrics(answer: DataFrame, own: DataFrame, view: ViewRules, in_order: bool) -> DataFrame:
+    """Row counts, value_mismatch_count, order_mismatch_count and status of two outputs in canonical values; both with _POSITION if `in_order`.
+
+    Row by row where the view is ordered. A candidate of several rows without an order has all of them out of order.
+    """
+    if view.ordered and in_order:
+        m = compare.ordered_metrics(answer, own, _POSITION)
+        return m.withColumns({"order_mismatch_count": F.col("value_mismatch_count"), "candidate_status": compare.ordered_status(m)})
+    m = compare.multiset_metrics(answer, own)
+    if not view.ordered:
+        return m.withColumns({"order_mismatch_count": F.lit(0).cast("bigint"), "candidate_status": compare.multiset_status(m)})
+    m = m.withColumn("order_mismatch_count", F.when(F.col("row_count_student") > 1, F.col("row_count_student")).otherwise(0))
+    status = F.when(m["row_count_answer"] != m["row_count_student"], "VIEW_ROW_COUNT_MISMATCH").when(m["order_mismatch_count"] > 0, "VIEW_ORDER_MISMATCH")
+    return m.withColumn("candidate_status", status.otherwise(compare.multiset_status(m)))
 
 
 def score_candidates(
-    spark: SparkSession, definitions: list[tuple[str, str, str]], views: list[ViewRules], answers: Mapping[str, DataFrame], tables: Mapping[str, DataFrame], table_maps: Mapping[str, Mapping[str, str]], column_maps: Mapping[str, Mapping[tuple[str, str], str]]
+    spark: SparkSession, definitions: list[tuple[str, str, str]], views: list[ViewRules], answers: Mapping[str, DataFrame], tables: Mapping[str, DataFrame], table_maps: Mapping[str, Mapping[str, str]], column_maps: Mapping[str, Mapping[tuple[str, str], str]], ordinal: str = "ordinal"
 ) -> DataFrame:
     """Scores of every candidate view of every submission against every expected view.
 
     definitions: (submission_id, view name, DDL). answers: reference outputs by view name. table_maps and column_maps: by
     submission. A candidate that cannot run gets its status and zero scores; the others' counts are computed in one job each.
+    Outputs of ordered views are compared row by row: the reference's by its column `ordinal`, or as it is delivered
+    if it has none, a candidate's by its ORDER BY; rows with equal sort keys stand as they are delivered.
     """
+    by_ordinal = lambda df, v: df.orderBy(ordinal) if ordinal in df.columns and ordinal not in [c for c, *_ in v.columns] else df
+    ranked = {v.name: compare.with_position(compare.canonicalize(by_ordinal(answers[v.name], v), v), _POSITION) for v in views if v.ordered}
     done, failed = [], []
     others: dict[str, tuple[str, ...]] = {}
     for sub, name, _ in definitions:
@@ -121,11 +153,13 @@ def score_candidates(
                 failed.append((*base, "VIEW_OUTPUT_SCHEMA_MISMATCH", len(known), n, 0, 0, 0, 0, hint, place, view.ordered))
                 continue
             own = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, run.data._jdf.queryExecution().analyzed()), spark)
-            m = compare.multiset_metrics(compare.canonicalize(answers[view.name], view), compare.canonicalize(own, view))
+            in_order = view.ordered and _in_order(run.data)
+            answer, own = compare.canonicalize(answers[view.name], view), compare.canonicalize(own, view)
+            m = _view_metrics(ranked[view.name] if in_order else answer, compare.with_position(own, _POSITION) if in_order else own, view, in_order)
             done.append(
-                m.withColumn("candidate_status", compare.multiset_status(m)).select(
+                m.select(
                     *[F.lit(x).alias(c) for c, x in zip(("submission_id", "expected_view", "student_view"), base)], "candidate_status", F.lit(n).alias("matched_columns"), F.lit(n).alias("expected_columns"),
-                    "row_count_answer", "row_count_student", "value_mismatch_count", F.lit(0).alias("order_mismatch_count"), F.lit(hint).alias("hint_score"), F.lit(place).alias("ordinal"), F.lit(view.ordered).alias("ordered"),
+                    "row_count_answer", "row_count_student", "value_mismatch_count", "order_mismatch_count", F.lit(hint).alias("hint_score"), F.lit(place).alias("ordinal"), F.lit(view.ordered).alias("ordered"),
                 )
             )
     out = reduce(DataFrame.unionByName, done, spark.createDataFrame(failed, _SCORES))

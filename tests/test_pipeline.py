@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.config import NameRules, Rules, ViewRules
 from matchloom.plans import pipeline as P
@@ -65,3 +66,17 @@ def test_views(spark, reports):
     assert (got["good", "vTong"]["student_view"], got["good", "vTong"]["status"]) == ("v_1", "VIEW_PASS")
     assert (got["good", "vTen"]["student_view"], got["good", "vTen"]["status"], got["good", "vTen"]["match_method"]) == ("vTen", "VIEW_ROW_COUNT_MISMATCH", "name_hint_then_output")
     assert got["bad", "vTong"]["status"] in ("VIEW_SQL_UNSAFE_REVIEW", "VIEW_SQL_UNMAPPED_TABLE") and got["bad", "vTong"]["total_match_score"] == 0
+
+
+def test_ordered_views(spark):
+    data = {"Hang": spark.createDataFrame([(k, f"N{k}", 40 - k) for k in range(40)], "Ma int, Ten string, Gia int").repartition(4)}
+    views = [ViewRules("vGia", [("Ten", "text", ()), ("Gia", "int", ())], ordered=True)]
+    sql = {"right": "SELECT Ten, Gia FROM Hang ORDER BY Gia", "wrong": "SELECT Ten, Gia FROM Hang ORDER BY Gia DESC", "none": "SELECT Ten, Gia FROM Hang", "hidden": "SELECT Ten, Gia FROM Hang ORDER BY Ma DESC", "short": "SELECT TOP 30 Ten, Gia FROM Hang ORDER BY Gia"}
+    definitions = [(sub, "v", f"CREATE VIEW v AS {q}") for sub, q in sql.items()]
+    maps = {sub: {"Hang": "Hang"} for sub in sql}
+    for answer in (data["Hang"].orderBy("Gia").select("Ten", "Gia"), data["Hang"].select("Ten", "Gia", (F.col("Gia") * 2).alias("ordinal"))):
+        got = {r["submission_id"]: r for r in P.score_candidates(spark, definitions, views, {"vGia": answer}, data, maps, {}).collect()}
+        assert {s: r["candidate_status"] for s, r in got.items()} == {"right": "VIEW_PASS", "wrong": "VIEW_ORDER_MISMATCH", "none": "VIEW_ORDER_MISMATCH", "hidden": "VIEW_PASS", "short": "VIEW_ROW_COUNT_MISMATCH"}
+        assert {s: r["order_mismatch_count"] for s, r in got.items()} == {"right": 0, "wrong": 40, "none": 40, "hidden": 0, "short": 0}
+        assert [got[s]["order_score"] for s in ("right", "wrong", "none")] == [1, 0, 0]
+        assert got["right"]["total_match_score"] == pytest.approx(1) and got["wrong"]["total_match_score"] == pytest.approx(0.4) and got["none"]["total_match_score"] == pytest.approx(0.9)
