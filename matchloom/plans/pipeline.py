@@ -126,7 +126,9 @@ def score_candidates(
     """Scores of every candidate view of every submission against every expected view.
 
     definitions: (submission_id, view name, DDL). answers: reference outputs by view name. table_maps and column_maps: by
-    submission. A candidate that cannot run gets its status and zero scores; the others' counts are computed in one job each.
+    submission. A candidate that cannot run, or whose columns are ambiguous, gets its status and a score of zero; the others'
+    counts are computed in one job each. Surplus columns are dropped and missing ones null for the comparison; then only the
+    status says VIEW_OUTPUT_SCHEMA_MISMATCH.
     Outputs of ordered views are compared row by row: the reference's by its column `ordinal`, or as it is delivered
     if it has none, a candidate's by its ORDER BY; rows with equal sort keys stand as they are delivered.
     """
@@ -148,24 +150,24 @@ def score_candidates(
             try:
                 known = compare.resolve_columns(run.data.columns, view)
             except compare.AmbiguousColumns:
-                known = {}
-            if len(known) < n or len(run.data.columns) > n:
-                failed.append((*base, "VIEW_OUTPUT_SCHEMA_MISMATCH", len(known), n, 0, 0, 0, 0, hint, place, view.ordered))
+                known = None
+            if known is None or any(run.data.columns.count(c) > 1 for c in known):  # which column is meant is not known
+                failed.append((*base, "VIEW_OUTPUT_SCHEMA_MISMATCH", 0, n, 0, 0, 0, 0, hint, place, view.ordered))
                 continue
+            other_columns = len(known) < n or len(run.data.columns) > n
             own = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, run.data._jdf.queryExecution().analyzed()), spark)
             in_order = view.ordered and _in_order(run.data)
             answer, own = compare.canonicalize(answers[view.name], view), compare.canonicalize(own, view)
             m = _view_metrics(ranked[view.name] if in_order else answer, compare.with_position(own, _POSITION) if in_order else own, view, in_order)
             done.append(
-                m.select(
-                    *[F.lit(x).alias(c) for c, x in zip(("submission_id", "expected_view", "student_view"), base)], "candidate_status", F.lit(n).alias("matched_columns"), F.lit(n).alias("expected_columns"),
-                    "row_count_answer", "row_count_student", "value_mismatch_count", "order_mismatch_count", F.lit(hint).alias("hint_score"), F.lit(place).alias("ordinal"), F.lit(view.ordered).alias("ordered"),
+                m.withColumn("candidate_status", F.lit("VIEW_OUTPUT_SCHEMA_MISMATCH") if other_columns else F.col("candidate_status")).select(
+                    *[F.lit(x).alias(c) for c, x in zip(("submission_id", "expected_view", "student_view"), base)], "candidate_status", F.lit(len(known)).alias("matched_columns"), F.lit(n).alias("expected_columns"),
+                    "row_count_answer", "row_count_student", "value_mismatch_count", "order_mismatch_count", F.lit(hint).alias("hint_score"), F.lit(place).alias("ordinal"), F.lit(view.ordered).alias("ordered"), F.lit(True).alias("compared"),
                 )
             )
-    out = reduce(DataFrame.unionByName, done, spark.createDataFrame(failed, _SCORES))
+    out = reduce(DataFrame.unionByName, done, spark.createDataFrame(failed, _SCORES).withColumn("compared", F.lit(False)))
     scored = out.withColumns(assign.score_columns(F.col("ordered")))
-    failed_to_run = F.col("row_count_answer") + F.col("row_count_student") + F.col("matched_columns") == 0
-    return scored.withColumn("total_match_score", F.when(failed_to_run, 0.0).when(F.col("candidate_status") == "VIEW_OUTPUT_SCHEMA_MISMATCH", F.col("schema_score") * 2 / 9).otherwise(F.col("total_match_score")))
+    return scored.withColumn("total_match_score", F.when(F.col("compared"), F.col("total_match_score")).otherwise(0.0)).drop("compared")
 
 
 def assign_views(scores: DataFrame) -> DataFrame:

@@ -80,3 +80,27 @@ def test_ordered_views(spark):
         assert {s: r["order_mismatch_count"] for s, r in got.items()} == {"right": 0, "wrong": 40, "none": 40, "hidden": 0, "short": 0}
         assert [got[s]["order_score"] for s in ("right", "wrong", "none")] == [1, 0, 0]
         assert got["right"]["total_match_score"] == pytest.approx(1) and got["wrong"]["total_match_score"] == pytest.approx(0.4) and got["none"]["total_match_score"] == pytest.approx(0.9)
+
+
+def test_other_columns_are_compared(spark):
+    data = {"Hang": spark.createDataFrame([(k, f"N{k}", 10 * k) for k in range(8)], "Ma int, Ten string, Gia int")}
+    columns = [("Ten", "text", ()), ("Gia", "int", ())]
+    views = [ViewRules("vGia", columns), ViewRules("vThuTu", columns, ordered=True)]
+    sql = {
+        "surplus": "SELECT Ten, Gia, Ma * 2 AS Khac FROM Hang ORDER BY Gia", "missing": "SELECT Ten FROM Hang ORDER BY Gia", "fewer": "SELECT Ten, Gia, Ma AS Khac FROM Hang WHERE Ma > 1 ORDER BY Gia",
+        "twice": "SELECT Ten, Ten, Gia FROM Hang", "surplus_twice": "SELECT Ten, Gia, Ma AS Khac, Ma AS Khac FROM Hang ORDER BY Gia", "none": "SELECT Ma AS Khac FROM Hang ORDER BY Ma", "ambiguous": "SELECT Ten, TEN AS TEN, Gia FROM Hang",
+    }
+    definitions = [(sub, "v", f"CREATE VIEW v AS {q}") for sub, q in sql.items()]
+    answer = data["Hang"].orderBy("Gia").select("Ten", "Gia")
+    rows = P.score_candidates(spark, definitions, views, {"vGia": answer, "vThuTu": answer}, data, {sub: {"Hang": "Hang"} for sub in sql}, {}).collect()
+    assert {r["candidate_status"] for r in rows} == {"VIEW_OUTPUT_SCHEMA_MISMATCH"} and len(rows) == 2 * len(sql)
+    got = {(r["submission_id"], r["ordered"]): (r["matched_columns"], r["row_count_answer"], r["row_count_student"], r["value_mismatch_count"], r["order_mismatch_count"], round(r["total_match_score"], 6)) for r in rows}
+    ninth = lambda x: round(x / 9, 6)
+    assert got["surplus", False] == got["surplus_twice", False] == (2, 8, 8, 0, 0, 1)
+    assert got["surplus", True] == got["surplus_twice", True] == (2, 8, 8, 0, 0, 1)
+    # the first row is priced 0, so all eight differ from null
+    assert got["missing", False] == (1, 8, 8, 8, 0, ninth(1 + 2)) and got["missing", True] == (1, 8, 8, 8, 8, 0.3)
+    assert got["fewer", False] == (2, 8, 6, 0, 0, ninth(2 + 1.5 + 5)) and got["fewer", True] == (2, 8, 6, 0, 0, 0.95)
+    assert got["none", False] == (0, 8, 8, 8, 0, ninth(2))
+    assert got["twice", False] == got["ambiguous", False] == (0, 0, 0, 0, 0, 0)
+    assert {r["student_view"] for r in P.assign_views(spark.createDataFrame(rows).where("submission_id = 'surplus'")).collect()} >= {"v"}
