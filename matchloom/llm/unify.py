@@ -46,8 +46,11 @@ SCRIPTS = ("Latin", "Cyrillic", "Greek")
 FORMS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Blocks of ligatures and number letters, whose mapping is spelled out although its kind is <compat>.
 SPELLED = (range(0x2160, 0x2180), range(0xFB00, 0xFB07), range(0x1C4, 0x1CD), range(0x132, 0x134))
-#: A text of these characters only is consistent already (checked in the JVM).
-PLAIN = r"^[\x20-\x7eÀ-ÏÑ-ıĴ-žƠơƯưẠ-ỹ]*$"
+#: A text of these characters only is consistent already (checked in the JVM, where $ would let a final line separator pass).
+PLAIN = r"^[\x20-\x7eÀ-ÏÑ-ıĴ-žƠơƯưẠ-ỹ]*(?![\s\S])"
+
+#: Control characters that part words like a blank; the others are invisible.
+BREAKS = "\t\n\x0b\x0c\r\x85"
 
 _CLUSTER = regex.compile(r"\X")
 _EMOJI = regex.compile(r"\p{Extended_Pictographic}")
@@ -75,10 +78,10 @@ def letter_rules() -> dict[str, str]:
         kind = unicodedata.category(c)
         if kind in ("Cn", "Co", "Cs"):
             continue
-        if kind == "Zs" or kind in ("Zl", "Zp"):
+        if kind in ("Zs", "Zl", "Zp") or c in BREAKS:
             if c != " ":
                 _add(rules, c, " ")
-        elif kind == "Cf" or c == "͏" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or 0x115F <= code <= 0x1160:
+        elif kind in ("Cf", "Cc") or c in "\u034f\u3164" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or 0x115F <= code <= 0x1160:
             _add(rules, c, "")
         else:
             parts = unicodedata.decomposition(c).split(" ")
@@ -237,7 +240,7 @@ def unify_text(text: str) -> str:
                 return plain(w)
         return own(w)
 
-    out = regex.sub(r"[^\p{Z}]+|\p{Z}+", word, text)
+    out = regex.sub(rf"[^\p{{Z}}{BREAKS}]+|[\p{{Z}}{BREAKS}]+", word, text)
     return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 
 

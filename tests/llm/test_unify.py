@@ -81,3 +81,11 @@ def test_empty(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert U.odd_values(spark, str(tmp_path)).count() == 0
     assert U.unified_values(spark, str(tmp_path)).count() == 0
+
+
+def test_line_separators_fillers_and_controls(spark):
+    given_ = {"Kho\u2028": "Kho ", "Kho\u2029": "Kho ", "Kho\x85": "Kho ", "Kho\u3164": "Kho", "K\u3164ho": "Kho", "Kho\uffa0": "Kho", "K\x00ho\x7f\x9f": "Kho", "Kho\t1\n": "Kho 1 ", "Kho\tКо": "Kho Ko", "Kho 1": "Kho 1"}
+    assert {t: U.unify_text(t) for t in given_} == given_ and all(U.unify_text(t) == t for t in given_.values())
+    rows = spark.createDataFrame([(t,) for t in given_], "value string")
+    assert {r["value"]: r["unified"] for r in rows.select("value", U.unified(F.col("value")).alias("unified")).collect()} == given_
+    assert {r["value"] for r in rows.where(~F.col("value").rlike(U.PLAIN)).collect()} == {t for t in given_ if t != "Kho 1"}
