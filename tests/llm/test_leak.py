@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,14 @@ def body(i):
 
 @pytest.fixture(scope="module")
 def index():
-    return L.Index.build(ITEMS)
+    return built(ITEMS)
+
+
+def built(items):
+    """An index whose stock sentences are counted by hand."""
+    ends = [{tuple(L.sentences(t)[k]) for k in (0, -1)} for _, t in items]
+    stock = lambda s: bool(s) and sum(tuple(s) in e for e in ends) >= L.STOCK_ITEMS
+    return L.Index.build([(i, t, stock(L.sentences(t)[0]), stock(L.sentences(t)[-1])) for i, t in items])
 
 
 def ids(index, text):
@@ -50,9 +58,9 @@ def test_reordered_sentences(index):
 def test_edge_texts(index):
     assert ids(index, "") == [] and ids(index, "!!!") == [] and ids(index, "a b") == []
     assert ids(index, FILLER(30000) + " " + body(6) + " " + FILLER(30000)) == [6]
-    empty = L.Index.build([(1, None), (2, ""), (3, "one two")])
+    empty = built([(1, None), (2, ""), (3, "one two")])
     assert ids(empty, "one two three") == []
-    assert ids(L.Index.build([(9, "alpha beta gamma delta")]), "x alpha beta gamma delta y") == [9]
+    assert ids(built([(9, "alpha beta gamma delta")]), "x alpha beta gamma delta y") == [9]
 
 
 def brute(doc, item, barred):
@@ -95,3 +103,59 @@ def test_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, body(i)) for i in range(12)], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in L.find_leaks(docs, items).collect()) == [(i, i) for i in range(12)]
+
+
+def test_short_items_are_covered_wholly():
+    short = built([(9, "alpha beta gamma delta epsilon zeta eta theta")])
+    assert ids(short, "x alpha beta gamma delta epsilon y") == []
+    assert ids(short, "x alpha beta gamma delta epsilon zeta eta theta y") == [9]
+
+
+def test_repetitive_texts():
+    """A text of one word over and over: the queue of matches stays a heap, and tiles do not overlap."""
+    many = built([(1, "ha " * 300), (2, "ha ho " * 150)])
+    assert ids(many, "ha " * 6000) == [1]
+    found = L.tiles(*(many.encode(t) for t in ("ha " * 400, "ha " * 300)), *np.nonzero(np.ones((398, 298), dtype=bool)))
+    assert sum(n for *_, n in found) == 300
+
+
+def slow_tiles(doc, item):
+    """Greedy string tiling by its definition."""
+    doc_free, item_free, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and doc_free[d + n] and item_free[i + n]:
+                    n += 1
+                best = max(best, (n, -d, -i))
+        n, d, i = best[0], -best[1], -best[2]
+        if n < L.SEED:
+            return sorted(out)
+        out.append((d, i, n))
+        for k in range(n):
+            doc_free[d + k] = item_free[i + k] = False
+
+
+def test_tiles_against_definition():
+    r = random.Random(3)
+    for _ in range(60):
+        doc, item = (np.array([r.randrange(3) for _ in range(r.randrange(3, 30))]) for _ in range(2))
+        seeds = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if (doc[d : d + 3] == item[i : i + 3]).all()]
+        if seeds:
+            assert L.tiles(doc, item, *np.array(seeds).T) == slow_tiles(doc.tolist(), item.tolist())
+
+
+def test_stock_is_counted_over_all_items(spark, monkeypatch):
+    """A stock opening bars the same words whatever the blocks; equal items count once."""
+    opening = " ".join(WORDS[:17])
+    items = spark.createDataFrame([(i, f"{opening}. {FILLER(30)}.") for i in range(6)] + [(100 + i, FILLER(25) if i == 0 else "same words here " + " ".join(WORDS[40:60])) for i in range(4)], "item_id bigint, text string")
+    items.cache()
+    docs = spark.createDataFrame([(1, opening), (2, " ".join(WORDS[40:60]))], "doc_id bigint, text string")
+    for size in (L.BLOCK_ITEMS, 5):
+        monkeypatch.setattr(L, "BLOCK_ITEMS", size)
+        assert sorted((r["doc_id"], r["item_id"]) for r in L.find_leaks(docs, items).collect()) == [(2, 101), (2, 102), (2, 103)]
+    monkeypatch.setattr(L, "BLOCK_CHARS", 600)
+    placed, blocks = L.item_blocks(L.with_stock(items))
+    assert blocks > 2 and placed.count() == 10
