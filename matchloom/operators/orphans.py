@@ -1,35 +1,43 @@
 """References to records that do not exist.
 
-State is kept per parent table and key: an index of parent rows, the references that wait for a
-parent (pending) and those that have one (covered). `advance` folds one batch into the state:
+State is kept per parent table and key, in buckets of the key (`keyedstate`): the parent rows, a log of the
+references seen, and the references listed (pending). `OrphanState.fold` takes in one batch:
 
-* new references probe the parent index,
-* arriving parents resolve waiting references,
-* deletions reopen covered references that hung on the deleted row.
+* new references probe the parents of their buckets,
+* arriving parents resolve listed references of their keys,
+* deletions reopen references of their keys, which are read back from the log's buckets.
 
-A reference is covered when an undeleted parent row of its key was loaded no later than the
-reference itself. The rest is listed with a reason:
+So a batch reads the buckets it touches and rewrites the pending rows of those to which parents came; whatever
+else the state holds is left alone. A reference is covered when an undeleted parent row of its key was loaded no
+later than the reference itself. The rest is listed with a reason:
 
 * ``late``     an undeleted parent exists, but was loaded after the reference (resolved, still listed)
 * ``deleted``  every parent row of the key is deleted
 * ``missing``  no parent row of the key exists
 
+Whole tables are folded in batches too, one per calendar year of what happened (loads and deletions).
+
 Defined results for edge cases: null, blank and ``NULL`` texts are no references and are left out;
 letter case, blanks, hyphens and zero padding make no other key; a parent row with a null
 ``loaded_at`` counts as loaded at the beginning of time; a reference with a null ``loaded_at`` is
 covered by any undeleted parent; repeated parent rows change nothing; repeated references are listed
-one by one; empty tables give empty results; extra columns are ignored.
+one by one; empty tables give empty results; extra columns are ignored. The result does not depend on how
+the events are cut into batches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import small, table
+from matchloom.operators.keyedstate import KeyedState
+from matchloom.session import keep, scratch, small, table
+
+#: Buckets of the state by its key; more for more data, as a bucket is what a touched key makes a batch read.
+BUCKETS = 8
 
 #: child table, reference column, parent table, parent key column
 SALES_LINKS = (
@@ -95,38 +103,54 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
     return found.select(*refs.columns, reason.alias("reason"), F.when(reason == "late", F.col("alive_from")).alias("resolved_at"))
 
 
-@dataclass
+LISTED = REFS + ", reason string, resolved_at timestamp_ntz"
+_REF_COLUMNS = [c.strip().split(" ")[0] for c in REFS.split(",")]
+_KEYS = ("parent_table", "ref_key")
+
+
 class OrphanState:
-    """All that must be known to fold in the next batch."""
-
-    parents: DataFrame
-    pending: DataFrame
-    covered: DataFrame
-
-    @classmethod
-    def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(
-            spark.createDataFrame([], PARENTS),
-            spark.createDataFrame([], REFS + ", reason string, resolved_at timestamp_ntz"),
-            spark.createDataFrame([], REFS),
-        )
-
-
-def advance(state: OrphanState, new_parents: DataFrame, new_refs: DataFrame) -> OrphanState:
-    """Fold a batch into the state. Work is in proportion to the batch, the pending references and the keys with deletions."""
-    keys = ["parent_table", "ref_key"]
-    known = state.parents.unionByName(new_parents)
-    touched = new_parents.select(*keys).distinct()
-    hit = new_parents.where("deleted_at IS NOT NULL").select(*keys).distinct()
-    index = parent_index(known, versions=True)
-    waiting = state.pending.join(touched, keys, "left_semi").select(*new_refs.columns)
-    reopened = state.covered.join(hit, keys, "left_semi")
-    judged = probe(new_refs.unionByName(waiting).unionByName(reopened), index)
-    return OrphanState(
-        known,
-        state.pending.join(touched, keys, "left_anti").unionByName(judged.where("reason IS NOT NULL")),
-        state.covered.join(hit, keys, "left_anti").unionByName(judged.where("reason IS NULL").select(*new_refs.columns)),
-    )
+    """The folded state in a folder; `batch` is the last batch folded in."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, batch: int = -1):
+        self.spark, self.batch = spark, batch
+        self.store = KeyedState(folder, {"parents": PARENTS, "refs": REFS, "pending": LISTED}, _KEYS, buckets)
+        self.manifest = self.store.manifest(spark, batch)
+
+    def pending(self) -> DataFrame:
+        """All listed references with their reason."""
+        return self.store.read(self.spark, self.manifest, "pending").drop("bucket")
+
+    def fold(self, new_parents: DataFrame, new_refs: DataFrame) -> None:
+        """Takes in a batch. A parent row sent again with deleted_at is its deletion."""
+        spark, store, batch, old = self.spark, self.store, self.batch + 1, self.manifest
+        version = str(batch)
+        old = store.compacted(spark, store.compacted(spark, old, "parents", f"{version}p"), "refs", f"{version}r")
+        bucketed = lambda rows: rows.withColumn("bucket", store.bucket())
+        arrived = store.write("parents", bucketed(new_parents), version)
+        logged = store.write("refs", bucketed(new_refs), version)
+        now = {
+            "parents": store.appended(old["parents"], arrived, version),
+            "refs": store.appended(old["refs"], logged, version),
+        }
+        batch_only = {"parents": dict.fromkeys(arrived, [version]), "refs": dict.fromkeys(logged, [version])}
+        index = parent_index(store.read(spark, now, "parents", {*arrived, *logged}), versions=True)
+
+        judged = [probe(store.read(spark, batch_only, "refs"), index)]
+        if arrived:
+            gone = store.read(spark, batch_only, "parents").where("deleted_at IS NOT NULL").select(*_KEYS, "bucket").distinct()
+            hit = {r["bucket"] for r in gone.select("bucket").distinct().collect()}
+            waiting = store.read(spark, old, "pending", arrived).select(*_REF_COLUMNS, "bucket")
+            if hit:
+                gone = small(keep(gone.drop("bucket"), "gone"), None)
+                waiting = waiting.join(gone, list(_KEYS), "left_anti")
+                judged.append(probe(store.read(spark, old, "refs", hit).join(gone, list(_KEYS), "left_semi"), index))
+            judged.append(probe(waiting, index))
+        listed = reduce(DataFrame.unionByName, judged).where("reason IS NOT NULL")
+        written = store.write("pending", listed, version)
+        pending = store.replaced(old["pending"], arrived, written, version)
+        self.manifest = {**now, "pending": store.appended(pending, set(written) - set(arrived), version)}
+        store.commit(spark, batch, self.manifest)
+        self.batch = batch
 
 
 def snapshot(pending: DataFrame) -> DataFrame:
@@ -134,31 +158,82 @@ def snapshot(pending: DataFrame) -> DataFrame:
     return pending.groupBy("child_table", "ref_column", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def first_load(spark: SparkSession, sf_dir: str, links=SALES_LINKS) -> DataFrame:
-    """`advance` from the empty state over whole tables: with nothing stored, only the probe is left.
+def years(parent_rows: DataFrame, refs: DataFrame) -> list[datetime | None]:
+    """Ends of the calendar years in which anything happened, the last one open (None)."""
+    at = lambda df, *columns: [df.select(F.year(c).alias("y")) for c in columns]
+    seen = reduce(DataFrame.unionByName, [*at(parent_rows, "loaded_at", "deleted_at"), *at(refs, "loaded_at")]).where("y IS NOT NULL").distinct()
+    found = sorted(r["y"] for r in seen.collect())
+    return [datetime(y + 1, 1, 1) for y in found[:-1] if y < 9999] + [None]
+
 
-    A parent index is broadcast only when the parent table's row count is within the bound;
-    beyond it both sides are shuffled by key, where adaptive execution splits hot reference keys.
+def folded(spark: SparkSession, parent_rows: DataFrame, refs: DataFrame, ends: list[datetime | None], folder: str, buckets: int = BUCKETS, each=None) -> OrphanState:
+    """The state after whole tables, taken in as they happened: everything before each end, in ascending order, None for no end.
+
+    `each` is called with the state and the end after every batch, as for periodic snapshots.
     """
-    parts = []
-    for child, column, parent, key in links:
-        rows = table(spark, sf_dir, parent, "row_id", key, "loaded_at", "deleted_at")
-        index = small(parent_index(parents(rows, parent, key)), rows.count())
-        refs = references(table(spark, sf_dir, child, "row_id", column, "loaded_at"), child, column, parent)
-        parts.append(probe(refs, index))
-    return reduce(DataFrame.unionByName, parts)
+    state, start = OrphanState(spark, folder, buckets), None
+    for end in ends:
+        before = lambda c, t: F.lit(True) if t is None else F.col(c) < F.lit(t).cast("timestamp_ntz")
+        since = lambda c: F.lit(True) if start is None else F.col(c) >= F.lit(start).cast("timestamp_ntz")
+        deleted = F.when(before("deleted_at", end), F.col("deleted_at")).alias("deleted_at")
+        loads = since("loaded_at") & before("loaded_at", end)
+        deletions = since("deleted_at") & before("deleted_at", end) & before("loaded_at", end) & F.col("deleted_at").isNotNull()
+        rows = parent_rows.where(loads | deletions).select("parent_table", "ref_key", "row_id", "loaded_at", deleted)
+        at = F.coalesce(since("loaded_at") & before("loaded_at", end), F.lit(start is None))
+        state.fold(rows, refs.where(at))
+        if each:
+            each(state, end)
+        start = end
+    return state
+
+
+def _tables(spark: SparkSession, sf_dir: str, links=SALES_LINKS) -> tuple[DataFrame, DataFrame]:
+    """All parent rows (each parent table once) and all references."""
+    of = {parent: key for _, _, parent, key in links}
+    rows = [parents(table(spark, sf_dir, parent, "row_id", key, "loaded_at", "deleted_at"), parent, key) for parent, key in of.items()]
+    refs = [references(table(spark, sf_dir, child, "row_id", column, "loaded_at"), child, column, parent) for child, column, parent, _ in links]
+    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, refs)
+
+
+def _times(spark: SparkSession, sf_dir: str, links=SALES_LINKS) -> list[datetime | None]:
+    """Batches of these tables, from their time columns alone."""
+    of = {parent for _, _, parent, _ in links}
+    rows = reduce(DataFrame.unionByName, [table(spark, sf_dir, t, "loaded_at", "deleted_at") for t in sorted(of)])
+    refs = reduce(DataFrame.unionByName, [table(spark, sf_dir, t, "loaded_at") for t in sorted({c for c, *_ in links} - of)])
+    return years(rows, refs)
+
+
+def folded_tables(spark: SparkSession, sf_dir: str, each=None) -> OrphanState:
+    """The state after the sales tables, one batch per calendar year."""
+    parent_rows, refs = _tables(spark, sf_dir)
+    return folded(spark, parent_rows, refs, _times(spark, sf_dir), scratch(spark, "orphans"), each=each)
 
 
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_found: child_table, ref_column, row_id."""
-    return first_load(spark, sf_dir).where("reason IS NOT NULL").select("child_table", "ref_column", "row_id")
+    return folded_tables(spark, sf_dir).pending().select("child_table", "ref_column", "row_id")
 
 
 def orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per child table, column and month of loading: references, and orphans by reason."""
-    by = lambda reason: F.count(F.when(F.col("reason") == reason, 1)).alias(reason)
-    return (
-        first_load(spark, sf_dir)
-        .groupBy("child_table", "ref_column", F.date_format("loaded_at", "yyyy-MM").alias("period"))
-        .agg(F.count(F.lit(1)).alias("refs"), F.count("reason").alias("orphans"), by("missing"), by("deleted"), by("late"))
-    )
+    """Per child table, column and month of loading: references, and orphans by reason, after the last batch."""
+    state = folded_tables(spark, sf_dir)
+    by = ["child_table", "ref_column", "period"]
+    period = F.date_format("loaded_at", "yyyy-MM").alias("period")
+    of = lambda reason: F.count(F.when(F.col("reason") == reason, 1)).alias(reason)
+    seen = state.store.read(spark, state.manifest, "refs").groupBy("child_table", "ref_column", period).agg(F.count(F.lit(1)).alias("refs"))
+    listed = state.pending().groupBy("child_table", "ref_column", period).agg(F.count(F.lit(1)).alias("orphans"), of("missing"), of("deleted"), of("late"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by]
+    zero = [F.coalesce(F.col(f"o.{c}"), F.lit(0)).alias(c) for c in ("orphans", "missing", "deleted", "late")]
+    return seen.alias("s").join(listed.alias("o"), same, "left").select(*[f"s.{c}" for c in by], "s.refs", *zero)
+
+
+def orphan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the listed references at the end of each calendar year, as the state stood then, by reason."""
+    taken: list[DataFrame] = []
+
+    def take(state: OrphanState, end: datetime | None) -> None:
+        counts = snapshot(state.pending()).groupBy("child_table", "ref_column", "reason").agg(F.sum("orphans").alias("orphans"))
+        taken.append(keep(counts.select(F.lit(end).cast("timestamp_ntz").alias("before"), "child_table", "ref_column", "reason", "orphans"), "snapshot"))
+
+    folded_tables(spark, sf_dir, each=take)
+    return reduce(DataFrame.unionByName, taken)

@@ -21,6 +21,27 @@ def _judged() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _snapshots() -> str:
+    """Listed references as they stood at the end of each calendar year with loads or deletions, the last end open (null)."""
+    tables = sorted({t for child, _, parent, _ in orphans.SALES_LINKS for t in (child, parent)})
+    parents = sorted({parent for _, _, parent, _ in orphans.SALES_LINKS})
+    times = " UNION ALL ".join([f"SELECT loaded_at AS t FROM {t}" for t in tables] + [f"SELECT deleted_at FROM {t}" for t in parents])
+    refs, rows = [], []
+    for child, column, parent, _ in orphans.SALES_LINKS:
+        refs.append(f"SELECT '{child}' AS child_table, '{column}' AS ref_column, '{parent}' AS parent, {_KEY.format(c=column)} AS k, loaded_at FROM {child}")
+    for parent, key in {parent: key for _, _, parent, key in orphans.SALES_LINKS}.items():
+        rows.append(f"SELECT '{parent}' AS parent, {_KEY.format(c=key)} AS k, loaded_at, deleted_at FROM {parent}")
+    return (
+        f"WITH y AS (SELECT DISTINCT year(t) AS y FROM ({times}) WHERE t IS NOT NULL), "
+        "e AS (SELECT y, CASE WHEN y < (SELECT max(y) FROM y) THEN make_timestamp(y + 1, 1, 1, 0, 0, 0) END AS before FROM y), "
+        f"r AS ({' UNION ALL '.join(refs)}), p AS ({' UNION ALL '.join(rows)}), "
+        "i AS (SELECT y, parent, k, min(loaded_at) FILTER (WHERE deleted_at IS NULL OR deleted_at >= before) AS alive_from FROM p, e WHERE k IS NOT NULL AND (before IS NULL OR loaded_at < before) GROUP BY ALL), "
+        "j AS (SELECT e.before, child_table, ref_column, CASE WHEN i.k IS NULL THEN 'missing' WHEN alive_from IS NULL THEN 'deleted' WHEN alive_from > r.loaded_at THEN 'late' END AS reason "
+        "FROM r JOIN e ON r.k IS NOT NULL AND (e.before IS NULL OR r.loaded_at IS NULL OR r.loaded_at < e.before) LEFT JOIN i ON i.y = e.y AND i.parent = r.parent AND i.k = r.k) "
+        "SELECT before, child_table, ref_column, reason, count(*) AS orphans FROM j WHERE reason IS NOT NULL GROUP BY ALL"
+    )
+
+
 _TEXT = r"regexp_replace(lower(regexp_replace(nfc_normalize({c}), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
 _DATE = (
     r"regexp_replace(regexp_replace(regexp_replace(trim({c}), '^([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}})[ T]00:00(:00(\.0+)?)?$', '\1'), "
@@ -65,12 +86,14 @@ def queries() -> dict:
         "p3_view_counts": reconcile.view_counts,
         "p5_found": orphans.orphan_rows,
         "p5_orphan_counts": orphans.orphan_counts,
+        "p5_snapshots": orphans.orphan_snapshots,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     judged = _judged()
     return {
+        "p5_snapshots": _snapshots(),
         "p3_found": _FIELD_DIFFERENCES,
         "p3_view_counts": _VIEW_COUNTS,
         "p5_found": f"SELECT child_table, ref_column, row_id FROM ({judged}) WHERE reason IS NOT NULL",

@@ -45,13 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); one of this machine only where Spark runs on it alone."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -82,13 +84,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     The application's folder is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the known row count is within the bound; otherwise leave the join to the shuffle."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted with the application's."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def small(df: DataFrame, rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the row count is within the bound; otherwise leave the join to the shuffle.
+
+    Without a known count (None) the rows are counted, at most limit + 1 of them.
+    """
+    if rows is None:
+        rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
 
 

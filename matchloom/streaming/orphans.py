@@ -1,40 +1,34 @@
-"""Orphan state maintained by Structured Streaming: one version of the state per micro-batch.
+"""Orphan state maintained by Structured Streaming, one fold per micro-batch.
 
-Events carry ``kind`` ('parent' or 'reference') beside the columns of both layouts. Each batch reads
-version n-1, folds its events in and writes version n, so a batch that is run again overwrites its
-own version and the result is the same (exactly once).
+Events carry ``kind`` ('parent' or 'reference') beside the columns of both layouts. Batch n starts from what stood
+after batch n - 1 and writes segments of its own, so a batch that is run again gives the same state (exactly once).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.operators.orphans import OrphanState, advance, snapshot
+from matchloom.operators.orphans import BUCKETS, OrphanState, snapshot
 
 EVENTS = (
     "kind string, child_table string, ref_column string, parent_table string, row_id bigint, ref_key string, "
     "loaded_at timestamp_ntz, deleted_at timestamp_ntz"
 )
-PARTS = ("parents", "pending", "covered")
 
 
 class OrphanStream:
-    """Use `fold` as the foreachBatch function of a stream of EVENTS."""
+    """Use `fold` as the foreachBatch function of a stream of EVENTS. Every `snapshot_every` batches the counts are written."""
 
-    def __init__(self, state_dir: str):
-        self.state_dir = state_dir.rstrip("/")
+    def __init__(self, state_dir: str, buckets: int = BUCKETS, snapshot_every: int = 1):
+        self.state_dir, self.buckets, self.snapshot_every = state_dir.rstrip("/"), buckets, snapshot_every
 
-    def load(self, spark: SparkSession, version: int) -> OrphanState:
-        if version < 0:
-            return OrphanState.empty(spark)
-        read = lambda part: spark.read.parquet(f"{self.state_dir}/v{version}/{part}")
-        return OrphanState(*map(read, PARTS))
+    def load(self, spark: SparkSession, batch: int) -> OrphanState:
+        return OrphanState(spark, self.state_dir, self.buckets, batch)
 
     def fold(self, events: DataFrame, batch_id: int) -> None:
-        spark = events.sparkSession
+        state = self.load(events.sparkSession, batch_id - 1)
         new_parents = events.where("kind = 'parent'").select("parent_table", "ref_key", "row_id", "loaded_at", "deleted_at")
         new_refs = events.where("kind = 'reference'").select("child_table", "ref_column", "parent_table", "row_id", "ref_key", "loaded_at")
-        state = advance(self.load(spark, batch_id - 1), new_parents, new_refs)
-        for part in PARTS:
-            getattr(state, part).write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id}/{part}")
-        snapshot(spark.read.parquet(f"{self.state_dir}/v{batch_id}/pending")).write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id}/counts")
+        state.fold(new_parents, new_refs)
+        if batch_id % self.snapshot_every == 0:
+            snapshot(state.pending()).write.mode("overwrite").parquet(f"{self.state_dir}/counts/batch={batch_id}")

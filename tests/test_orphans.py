@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -53,25 +54,74 @@ def test_probe(spark):
     assert listed(O.probe(refs, O.parent_index(parents))) == EXPECTED
 
 
-def test_batches_equal_one_load(spark):
+def folded(spark, tmp_path, batches, buckets=4, name="state"):
+    state = O.OrphanState(spark, str(tmp_path / name), buckets)
+    for parents, refs in batches:
+        state.fold(parents, refs)
+    return state
+
+
+@pytest.mark.parametrize("cuts", [(1, 31), (1, 3, 9, 31), tuple(range(1, 12)) + (31,)])
+def test_batches_equal_one_load(spark, tmp_path, cuts):
     parents, refs = frames(spark)
-    state = O.OrphanState.empty(spark)
-    for lo, hi in ((1, 3), (3, 9), (9, 31)):
-        day = F.dayofmonth("loaded_at")
-        state = O.advance(state, parents.where((day >= lo) & (day < hi)), refs.where((day >= lo) & (day < hi)))
-    assert listed(state.pending) == EXPECTED
+    day = F.dayofmonth("loaded_at")
+    within = lambda df, lo, hi: df.where((day >= lo) & (day < hi))
+    state = folded(spark, tmp_path, [(within(parents, lo, hi), within(refs, lo, hi)) for lo, hi in zip(cuts, cuts[1:])])
+    assert listed(state.pending()) == EXPECTED
 
 
-def test_deletion_reopens(spark):
-    parents, refs = frames(spark, parents=[("KH1", 1, DAY(1), None)], refs=[("KH1", 1, DAY(2))])
-    state = O.advance(O.OrphanState.empty(spark), parents, refs)
-    assert state.pending.count() == 0 and state.covered.count() == 1
-    gone, none = frames(spark, parents=[("KH1", 1, DAY(1), DAY(5))], refs=[])
-    state = O.advance(state, gone, none)
-    assert listed(state.pending) == [(1, "deleted")] and state.covered.count() == 0
-    back, none = frames(spark, parents=[("KH1", 2, DAY(6), None)], refs=[])
-    state = O.advance(state, back, none)
-    assert listed(state.pending) == [(1, "late")]
+@pytest.mark.parametrize("ends", [[None], [DAY(5), None], [DAY(2), DAY(4), DAY(9), DAY(10), DAY(21), None]])
+def test_events_in_time(spark, tmp_path, ends):
+    """Deletions take effect when they happen; the end is the same for every cut."""
+    parents, refs = frames(spark)
+    seen = []
+    state = O.folded(spark, parents, refs, ends, str(tmp_path / "s"), 4, each=lambda s, end: seen.append(listed(s.pending())))
+    assert listed(state.pending()) == EXPECTED and len(seen) == len(ends)
+    if len(ends) == 6:
+        assert seen[1] == [(4, "missing"), (6, "missing"), (6, "missing")]
+        assert (3, "deleted") in seen[3] and (3, "late") in seen[4] and (4, "late") in seen[2]
+
+
+def test_deletion_reopens(spark, tmp_path):
+    at_first = frames(spark, parents=[("KH1", 1, DAY(1), None)], refs=[("KH1", 1, DAY(2))])
+    gone = frames(spark, parents=[("KH1", 1, DAY(1), DAY(5))], refs=[])
+    back = frames(spark, parents=[("KH1", 2, DAY(6), None)], refs=[])
+    state = folded(spark, tmp_path, [at_first])
+    assert state.pending().count() == 0
+    state.fold(*gone)
+    assert listed(state.pending()) == [(1, "deleted")]
+    state.fold(*back)
+    assert listed(state.pending()) == [(1, "late")]
+
+
+def test_random_events_against_one_probe(spark, tmp_path):
+    rng = random.Random(4)
+    parents = [(f"KH{rng.randrange(12)}", i, DAY(rng.randrange(1, 28)), DAY(28) if rng.random() < 0.3 else None) for i in range(30)]
+    refs = [(f"KH{rng.randrange(16)}", i, DAY(rng.randrange(1, 28))) for i in range(120)]
+    parents, refs = frames(spark, refs=refs, parents=parents)
+    expected = listed(O.probe(refs, O.parent_index(parents)))
+    state = O.folded(spark, parents, refs, [DAY(7), DAY(14), DAY(20), DAY(28), None], str(tmp_path / "s"), 8)
+    assert expected and listed(state.pending()) == expected
+
+
+def test_work_of_a_batch(spark, tmp_path, monkeypatch):
+    """A batch reads and rewrites the buckets of its keys only, however much the state holds; old segments go."""
+    parents, refs = frames(spark, refs=[(f"KH{i}", i, DAY(3)) for i in range(1, 400)], parents=[(f"KH{i}", i, DAY(2), None) for i in range(1, 300)])
+    state = folded(spark, tmp_path, [(parents, refs)], buckets=16)
+    assert state.pending().count() == 100
+    read = []
+    monkeypatch.setattr(O.KeyedState, "read", lambda self, s, m, part, buckets=None, was=O.KeyedState.read: (read.append((part, set(m[part]) if buckets is None else set(buckets) & set(m[part]))), was(self, s, m, part, buckets))[1])
+    before = {p: dict(of) for p, of in state.manifest.items()}
+    state.fold(*frames(spark, refs=[("KH350", 900, DAY(5))], parents=[("KH351", 901, DAY(5), None), ("KH7", 7, DAY(2), DAY(5))]))
+    assert all(len(buckets) <= 3 for _, buckets in read)
+    changed = {p: sum(before[p].get(b) != v for b, v in of.items()) for p, of in state.manifest.items()}
+    assert changed["parents"] <= 2 and changed["refs"] == 1 and changed["pending"] <= 3
+    monkeypatch.undo()
+    assert listed(state.pending())[:1] == [(7, "deleted")] and (351, "late") in listed(state.pending())
+    for _ in range(12):  # compaction keeps the number of segments bounded
+        state.fold(*frames(spark, refs=[("KH1", 950, DAY(6))], parents=[]))
+    assert max(len(v) for of in state.manifest.values() for v in of.values()) <= 9
+    assert not (tmp_path / "state/manifest-3.json").exists() and state.pending().count() == 102
 
 
 def test_empty_tables(spark):
@@ -105,8 +155,8 @@ def test_stream(spark, tmp_path):
         query = spark.readStream.schema(EVENTS).parquet(source).writeStream.foreachBatch(stream.fold).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
         query.awaitTermination()
     last = OrphanStream(str(tmp_path / "state")).load(spark, 2)
-    assert listed(last.pending) == EXPECTED
-    counts = spark.read.parquet(str(tmp_path / "state/v2/counts"))
+    assert listed(last.pending()) == EXPECTED
+    counts = spark.read.parquet(str(tmp_path / "state/counts/batch=2"))
     assert counts.agg(F.sum("orphans")).first()[0] == 4
 
 
