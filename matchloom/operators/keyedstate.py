@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Segments of a bucket from which on it is rewritten as one.
 SEGMENTS = 8
+#: Buckets up to which each task writes a file of its own to every bucket; with more, rows are brought together first.
+FEW_BUCKETS = 16
 
 Manifest = dict[str, dict[int, list[str]]]
 
@@ -62,8 +64,10 @@ class KeyedState:
         """Writes a segment of each bucket in `rows`, which have the column `bucket`; the buckets written."""
         spark, path = rows.sparkSession, f"{self.folder}/{part}/v={version}"
         columns = [c.strip().split(" ")[0] for c in self.parts[part].split(",")]
-        # adaptive execution splits the buckets of hot keys and joins small ones
-        rows.select(*columns, "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows = rows.select(*columns, "bucket")
+        if self.buckets > FEW_BUCKETS:  # adaptive execution splits the buckets of hot keys and joins small ones
+            rows = rows.hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
         fs, p = self._fs(spark, path)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))

@@ -88,8 +88,13 @@ def parent_index(rows: DataFrame, versions: bool = False) -> DataFrame:
     `versions` says that a row_id may stand in `rows` more than once (deletions sent after the row).
     """
     if versions:
-        rows = rows.groupBy("parent_table", "ref_key", "row_id").agg(F.min("loaded_at").alias("loaded_at"), F.max("deleted_at").alias("deleted_at"))
-    return rows.groupBy("parent_table", "ref_key").agg(F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at"))).alias("alive_from"), F.lit(True).alias("known"))
+        gone = rows.where("deleted_at IS NOT NULL").select("parent_table", "ref_key", "row_id").distinct()
+        alive = rows.where("deleted_at IS NULL").join(small(gone, None), ["parent_table", "ref_key", "row_id"], "left_anti")
+        rows = alive.select("parent_table", "ref_key", "loaded_at").unionByName(gone.select("parent_table", "ref_key", F.lit(None).cast("timestamp_ntz").alias("loaded_at")))
+        first = F.min("loaded_at")
+    else:
+        first = F.min(F.when(F.col("deleted_at").isNull(), F.col("loaded_at")))
+    return rows.groupBy("parent_table", "ref_key").agg(first.alias("alive_from"), F.lit(True).alias("known"))
 
 
 def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -166,32 +171,41 @@ def years(parent_rows: DataFrame, refs: DataFrame) -> list[datetime | None]:
     return [datetime(y + 1, 1, 1) for y in found[:-1] if y < 9999] + [None]
 
 
-def folded(spark: SparkSession, parent_rows: DataFrame, refs: DataFrame, ends: list[datetime | None], folder: str, buckets: int = BUCKETS, each=None) -> OrphanState:
-    """The state after whole tables, taken in as they happened: everything before each end, in ascending order, None for no end.
+def happened(rows: DataFrame, start: datetime | None, end: datetime | None, deletable: bool) -> DataFrame:
+    """What happened to `rows` (loaded_at and, if deletable, deleted_at) from `start` on before `end`; None is open.
+
+    A deletion shows only once it has happened, and then the row comes again with it. Rows without a time come first.
+    """
+    stamp = lambda c: F.col(c).cast("timestamp_ntz")
+    before = lambda c: F.lit(True) if end is None else stamp(c) < F.lit(end).cast("timestamp_ntz")
+    since = lambda c: F.lit(True) if start is None else stamp(c) >= F.lit(start).cast("timestamp_ntz")
+    loads = F.coalesce(since("loaded_at") & before("loaded_at"), F.lit(start is None))
+    if not deletable:
+        return rows.where(loads)
+    deletions = F.col("deleted_at").isNotNull() & since("deleted_at") & before("deleted_at") & F.coalesce(before("loaded_at"), F.lit(True))
+    return rows.where(loads | deletions).withColumn("deleted_at", F.when(before("deleted_at"), stamp("deleted_at")))
+
+
+def folded(spark: SparkSession, read, ends: list[datetime | None], folder: str, buckets: int = BUCKETS, each=None) -> OrphanState:
+    """The state after `read(start, end)`, the parents and references of each batch; ends ascend, None is no end.
 
     `each` is called with the state and the end after every batch, as for periodic snapshots.
     """
     state, start = OrphanState(spark, folder, buckets), None
     for end in ends:
-        before = lambda c, t: F.lit(True) if t is None else F.col(c) < F.lit(t).cast("timestamp_ntz")
-        since = lambda c: F.lit(True) if start is None else F.col(c) >= F.lit(start).cast("timestamp_ntz")
-        deleted = F.when(before("deleted_at", end), F.col("deleted_at")).alias("deleted_at")
-        loads = since("loaded_at") & before("loaded_at", end)
-        deletions = since("deleted_at") & before("deleted_at", end) & before("loaded_at", end) & F.col("deleted_at").isNotNull()
-        rows = parent_rows.where(loads | deletions).select("parent_table", "ref_key", "row_id", "loaded_at", deleted)
-        at = F.coalesce(since("loaded_at") & before("loaded_at", end), F.lit(start is None))
-        state.fold(rows, refs.where(at))
+        state.fold(*read(start, end))
         if each:
             each(state, end)
         start = end
     return state
 
 
-def _tables(spark: SparkSession, sf_dir: str, links=SALES_LINKS) -> tuple[DataFrame, DataFrame]:
-    """All parent rows (each parent table once) and all references."""
+def _tables(spark: SparkSession, sf_dir: str, start: datetime | None, end: datetime | None, links=SALES_LINKS) -> tuple[DataFrame, DataFrame]:
+    """Parent rows (each parent table once) and references of one batch; the time is tested before keys are normalised."""
     of = {parent: key for _, _, parent, key in links}
-    rows = [parents(table(spark, sf_dir, parent, "row_id", key, "loaded_at", "deleted_at"), parent, key) for parent, key in of.items()]
-    refs = [references(table(spark, sf_dir, child, "row_id", column, "loaded_at"), child, column, parent) for child, column, parent, _ in links]
+    took = lambda t, *columns: happened(table(spark, sf_dir, t, *columns), start, end, "deleted_at" in columns)
+    rows = [parents(took(parent, "row_id", key, "loaded_at", "deleted_at"), parent, key) for parent, key in of.items()]
+    refs = [references(took(child, "row_id", column, "loaded_at"), child, column, parent) for child, column, parent, _ in links]
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, refs)
 
 
@@ -205,8 +219,8 @@ def _times(spark: SparkSession, sf_dir: str, links=SALES_LINKS) -> list[datetime
 
 def folded_tables(spark: SparkSession, sf_dir: str, each=None) -> OrphanState:
     """The state after the sales tables, one batch per calendar year."""
-    parent_rows, refs = _tables(spark, sf_dir)
-    return folded(spark, parent_rows, refs, _times(spark, sf_dir), scratch(spark, "orphans"), each=each)
+    read = lambda start, end: _tables(spark, sf_dir, start, end)
+    return folded(spark, read, _times(spark, sf_dir), scratch(spark, "orphans"), each=each)
 
 
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
