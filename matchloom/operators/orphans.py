@@ -51,35 +51,38 @@ REFS = "child_table string, ref_column string, parent_table string, row_id bigin
 PARENTS = "parent_table string, ref_key string, row_id bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
 
 
-def reference_key(c: Column | str) -> Column:
-    """Upper case without blanks, hyphens and zero padding; null where the text is no reference."""
+def _key(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     bare = F.upper(F.regexp_replace(c, r"[\s\p{Z}\p{Pd}]+", ""))
-    key = F.regexp_replace(bare, r"^([^0-9]*)0+([0-9])", "$1$2")
-    return F.when((bare != "") & (bare != "NULL"), key)
+    return F.regexp_replace(bare, r"^([^0-9]*)0+([0-9])", "$1$2")
+
+
+def _no_reference(key: Column) -> Column:
+    return (key == "") | (key == "NULL")
+
+
+def reference_key(c: Column | str) -> Column:
+    """Upper case without blanks, hyphens and zero padding; null where the text is no reference."""
+    return F.when(~_no_reference(_key(c)), _key(c))
+
+
+def _with_key(df: DataFrame, c: str, *columns: Column) -> DataFrame:
+    """`columns` and ref_key of the rows with a reference; as a generator, so that the key is computed once a row and not again for a filter."""
+    return df.select(*columns, F.explode(F.filter(F.array(_key(c)), lambda k: ~_no_reference(k))).alias("ref_key"))
 
 
 def references(df: DataFrame, child_table: str, ref_column: str, parent_table: str, row_id: str = "row_id", loaded_at: str = "loaded_at") -> DataFrame:
     """The rows of `df` that refer to something, in the layout REFS."""
-    return df.select(
-        F.lit(child_table).alias("child_table"),
-        F.lit(ref_column).alias("ref_column"),
-        F.lit(parent_table).alias("parent_table"),
-        F.col(row_id).cast("bigint").alias("row_id"),
-        reference_key(ref_column).alias("ref_key"),
-        F.col(loaded_at).cast("timestamp_ntz").alias("loaded_at"),
-    ).where("ref_key IS NOT NULL")
+    names = [F.lit(v).alias(k) for k, v in (("child_table", child_table), ("ref_column", ref_column), ("parent_table", parent_table))]
+    rows = _with_key(df, ref_column, F.col(row_id).cast("bigint").alias("row_id"), F.col(loaded_at).cast("timestamp_ntz").alias("loaded_at"))
+    return rows.select(*names, "row_id", "ref_key", "loaded_at")
 
 
 def parents(df: DataFrame, parent_table: str, key: str, row_id: str = "row_id", loaded_at: str = "loaded_at", deleted_at: str = "deleted_at") -> DataFrame:
     """The rows of `df` as parents, in the layout PARENTS. A later version of a row_id with deleted_at is its deletion."""
-    return df.select(
-        F.lit(parent_table).alias("parent_table"),
-        reference_key(key).alias("ref_key"),
-        F.col(row_id).cast("bigint").alias("row_id"),
-        F.coalesce(F.col(loaded_at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("loaded_at"),
-        F.col(deleted_at).cast("timestamp_ntz").alias("deleted_at"),
-    ).where("ref_key IS NOT NULL")
+    loaded = F.coalesce(F.col(loaded_at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("loaded_at")
+    rows = _with_key(df, key, F.col(row_id).cast("bigint").alias("row_id"), loaded, F.col(deleted_at).cast("timestamp_ntz").alias("deleted_at"))
+    return rows.select(F.lit(parent_table).alias("parent_table"), "ref_key", "row_id", "loaded_at", "deleted_at")
 
 
 def parent_index(rows: DataFrame, versions: bool = False) -> DataFrame:
@@ -98,8 +101,11 @@ def parent_index(rows: DataFrame, versions: bool = False) -> DataFrame:
 
 
 def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """Refs with their reason; null: covered. One row per reference."""
-    found = refs.join(index, ["parent_table", "ref_key"], "left")
+    """Refs with their reason; null: covered. One row per reference.
+
+    The index has one row per key, so no key makes its side of a shuffled hash join uneven, and references need no sort.
+    """
+    found = refs.join(index.hint("shuffle_hash"), ["parent_table", "ref_key"], "left")
     reason = (
         F.when(F.col("known").isNull(), "missing")
         .when(F.col("alive_from").isNull(), "deleted")
