@@ -2,7 +2,8 @@
 
 Every entry is spelled out in all the ways its names are usually typed (name, labels, aliases, Telex
 keystrokes, other word orders, shortened and skeleton forms). A symmetric-delete dictionary of these forms
-finds all within a bounded edit distance of a typed value; candidates are ranked by a weighted
+finds all within a bounded weighted distance of a typed value, also where doubled letters, which cost less, make
+more edits of it; forms of more than LONG_FORM letters are compared one by one. Candidates are ranked by a weighted
 Damerau-Levenshtein distance (neighbouring keys, doubled letters and swaps cost less), then by how often the
 entry is used by the assignment and overall. Typed values are reduced to distinct ones before the lookup.
 
@@ -26,11 +27,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import table
+from matchloom.session import keep, table
 
-#: Form lengths from which on one and two edits are looked up, and the weighted distance each length allows.
-ONE_EDIT, TWO_EDITS = 4, 7
+#: The weighted distance each length allows.
 ALLOWED = ((4, 0.6), (6, 1.0), (7, 1.45), (1_000_000, 2.0))
+#: Weights of a doubled letter and of a swap or a neighbouring key; any other edit costs 1.
+DOUBLED, SLIP = 0.6, 0.8
+#: Letters up to which a form is looked up by deletions, and words up to which a label's words are shortened in all combinations.
+LONG_FORM, MIXED_WORDS = 64, 5
 #: Entries per block of the dictionary.
 BLOCK_ENTRIES = 5_000
 #: Cost of a candidate, penalties included, up to which it counts as named.
@@ -118,14 +122,22 @@ def forms(names: list[str], labels: list[str], foreign: list[str]) -> dict[str,
             add("".join(w[0] for w in words), 0.7, 0)
             add("".join(words[:-1]), 0.9, 0)
     for label in foreign:
-        words = [squeezed(w) for w in label.split()]
-        for pick in itertools.product(*[(w, skeleton(w)) if len(w) > 3 else (w,) for w in words]):
-            add("".join(pick), 0.4, 1 if list(pick) != words else 2)
+        words = [w for w in map(squeezed, label.split()) if w]
+        ways = [(w, skeleton(w)) if len(w) > 3 else (w,) for w in words]
+        if len(words) <= MIXED_WORDS:
+            picks = [list(p) for p in itertools.product(*ways)]
+        else:  # all words, the skeletons of the first or last k, or of one
+            short = [w[-1] for w in ways]
+            picks = [p for k in range(len(words) + 1) for p in (short[:k] + words[k:], words[:k] + short[k:])]
+            picks += [words[:k] + [short[k]] + words[k + 1 :] for k in range(len(words))]
+        for pick in picks:
+            add("".join(pick), 0.4, 1 if pick != words else 2)
     return out
 
 
-def edits_allowed(length: int, most: int) -> int:
-    return min(most, 0 if length < ONE_EDIT else 1 if length < TWO_EDITS else 2)
+def allowed(length: int) -> float:
+    """The weighted distance a length allows; it ascends with the length."""
+    return next(cost for most, cost in ALLOWED if length <= most)
 
 
 def deletions(key: str, n: int) -> set[str]:
@@ -137,15 +149,26 @@ def deletions(key: str, n: int) -> set[str]:
     return out
 
 
+def lookup_keys(key: str, cost: float) -> set[str]:
+    """What is left of a key by the deletions that edits up to a cost of 2 can ask of it.
+
+    At most cost / SLIP of the edits are others than doubled letters. Edits of that number and one doubled letter
+    more, as many as the cost allows, take the doubled letters from either side: the keys of both sides always meet.
+    """
+    whole = int(cost / SLIP + 1e-9)
+    doubled = {key[:i] + key[i + 1 :] for i in range(1, len(key)) if key[i] == key[i - 1]}
+    return set().union(*(deletions(k, whole) for k in {key} | doubled))
+
+
 _NEAR_KEYS = {frozenset(p) for row in _KEYS for p in zip(row, row[1:])} | {
     frozenset((a, b)) for up, low in zip(_KEYS, _KEYS[1:]) for i, b in enumerate(low) for a in up[i : i + 2]
 }
 
 
 def weighted_distance(a: str, b: str, limit: float) -> float:
-    """Damerau-Levenshtein with weights: swap 0.8, neighbouring key 0.8, doubled letter 0.6, else 1. Above the limit: infinite."""
+    """Damerau-Levenshtein with weights: SLIP for a swap or a neighbouring key, DOUBLED for a doubled letter, else 1. Above the limit: infinite."""
     rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    gap = lambda s, i: 0.6 if i > 0 and s[i] == s[i - 1] else 1.0
+    gap = lambda s, i: DOUBLED if i > 0 and s[i] == s[i - 1] else 1.0
     for i in range(1, len(a) + 1):
         rows[i][0] = rows[i - 1][0] + gap(a, i - 1)
     for j in range(1, len(b) + 1):
@@ -154,10 +177,10 @@ def weighted_distance(a: str, b: str, limit: float) -> float:
         row, above, x = rows[i], rows[i - 1], a[i - 1]
         for j in range(1, len(b) + 1):
             y = b[j - 1]
-            best = above[j - 1] + (0.0 if x == y else 0.8 if frozenset((x, y)) in _NEAR_KEYS else 1.0)
+            best = above[j - 1] + (0.0 if x == y else SLIP if frozenset((x, y)) in _NEAR_KEYS else 1.0)
             best = min(best, above[j] + gap(a, i - 1), row[j - 1] + gap(b, j - 1))
             if i > 1 and j > 1 and x != y and x == b[j - 2] and y == a[i - 2]:
-                best = min(best, rows[i - 2][j - 2] + 0.8)
+                best = min(best, rows[i - 2][j - 2] + SLIP)
             row[j] = best
         if min(row) > limit:
             return float("inf")
@@ -177,24 +200,28 @@ class Dictionary:
             for form, (penalty, edits) in forms([name] if name else [], accented, plain).items():
                 self.forms[form].append((entry_id, penalty, edits))
         self.index: dict[str, set[str]] = defaultdict(set)
+        self.long = [f for f in self.forms if len(f) > LONG_FORM]
         for form, own in self.forms.items():
-            for key in deletions(form, edits_allowed(len(form), max(e for *_, e in own))):
-                self.index[key].add(form)
-        self.longest = max(map(len, self.forms), default=0)
+            if len(form) <= LONG_FORM:
+                for key in lookup_keys(form, min(allowed(len(form)), max(e for *_, e in own))):
+                    self.index[key].add(form)
 
     def near(self, key: str) -> dict[int, float]:
         """Entries within the bounded distance of a key, with their cost."""
         found: dict[int, float] = {}
-        if not key or len(key) > self.longest + 2:
+        if not key:
             return found
-        seen = set()
-        for reduced in deletions(key, edits_allowed(len(key) + 2, 2)):
-            seen |= self.index.get(reduced, set())
+        most, slack = allowed(len(key) + 1), int(ALLOWED[-1][1] / DOUBLED)
+        seen = set(self.forms.keys() & {key})
+        if len(key) <= LONG_FORM + slack:
+            for reduced in lookup_keys(key, most):
+                seen |= self.index.get(reduced, set())
+        seen.update(f for f in self.long if abs(len(f) - len(key)) <= slack)
         for form in seen:
-            distance = weighted_distance(key, form, 2.0)
-            most = next(cost for length, cost in ALLOWED if min(len(form), len(key) + 1) <= length)
+            limit = min(most, allowed(len(form))) + 1e-9
+            distance = weighted_distance(key, form, limit)
             for entry, penalty, edits in self.forms[form]:
-                if distance <= min(most, edits):
+                if distance <= min(limit, edits):
                     found[entry] = min(found.get(entry, 9.0), distance + penalty)
         return found
 
@@ -217,6 +244,11 @@ def readings(value: str) -> list[tuple[str, float]]:
     return [(k, p) for k, p in out.items() if k]
 
 
+def pieces(keys: list[tuple[str, float]]) -> list[str]:
+    """The two parts of a value written as one name beside another; each counts only if the other one names something."""
+    return [k for k, p in keys if p >= 0.6]
+
+
 class Matcher:
     """Dictionary of one kind, with the names that may be written beside one of its entries."""
 
@@ -224,39 +256,65 @@ class Matcher:
         self.dictionary = Dictionary(entries)
         self.beside = Dictionary(list(beside)) if beside else self.dictionary
 
-    def candidates(self, value: str) -> dict[int, float]:
+    def names(self, value: str) -> list[str]:
+        """The parts of a value that name an entry of the other kind."""
+        return [k for k in pieces(readings(value)) if min(self.beside.near(k).values(), default=9.0) <= 0.5]
+
+    def candidates(self, value: str, named: list[str] | None = None) -> dict[int, float]:
         """Entries a typed value may name, with their cost; a part of a value counts if the rest names an entry of the other kind."""
         keys = readings(value)
+        named = self.names(value) if named is None else named
         out: dict[int, float] = {}
         for key, penalty in keys:
-            if penalty >= 0.6:
-                rest = [k for k, p in keys if p >= 0.6 and k != key]
-                if not rest or min(self.beside.near(rest[0]).values(), default=9.0) > 0.5:
-                    continue
+            if penalty >= 0.6 and not any(k in named for k in pieces(keys)[:2] if k != key):
+                continue
             for entry, cost in self.dictionary.near(key).items():
                 out[entry] = min(out.get(entry, 9.0), cost + penalty)
         return {e: c for e, c in out.items() if c <= NEAR}
 
 
+_COLUMNS = ["entry_id", "canonical_name", "label_vi", "label_en", "known_aliases"]
+
+
+def blocks_of(entries: DataFrame) -> Iterator[list[tuple]]:
+    """Entries in blocks of about BLOCK_ENTRIES; the driver holds what one dictionary may hold at a time."""
+    n = max(1, -(-entries.count() // BLOCK_ENTRIES))
+    take = lambda b: [tuple(r) for r in entries.where(F.pmod(F.xxhash64("entry_id"), F.lit(n)) == b).select(*_COLUMNS).distinct().orderBy("entry_id").collect()]
+    return (take(b) for b in range(n))
+
+
 def nominate(values: DataFrame, entries: DataFrame, kind: str, beside: str) -> DataFrame:
-    """(value, entry_id, cost) of all entries of `kind` near each value of the column ``value``."""
+    """(value, entry_id, cost) of all entries of `kind` near each value of the column ``value``.
+
+    One pass over the distinct values per block of names that may stand beside, and one per block of entries.
+    """
     spark = values.sparkSession
-    own = entries.where(F.col("kind") == kind)
-    blocks = max(1, -(-own.count() // BLOCK_ENTRIES))
-    columns = ["entry_id", "canonical_name", "label_vi", "label_en", "known_aliases"]
-    next_to = entries.where(F.col("kind") == beside)
-    other_blocks = max(1, -(-next_to.count() // BLOCK_ENTRIES))
-    take = lambda df, n, b: [tuple(r) for r in df.where(F.pmod(F.xxhash64("entry_id"), F.lit(n)) == b).select(*columns).distinct().orderBy("entry_id").collect()]
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a lookup costs far more than moving its value, so the values are not joined into few tasks
+    values = keep(values.select("value").distinct().repartition(tasks, "value"), "typed")
+    named = []
+    for block in blocks_of(entries.where(F.col("kind") == beside)):
+        matcher = spark.sparkContext.broadcast(Matcher(block))
+
+        def look_beside(frames: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = [(v, k) for v in frame["value"] for k in matcher.value.names(v)]
+                yield pd.DataFrame(rows, columns=["value", "named"])
+
+        two = values.where(F.col("value").rlike(r"[_.]|(?U)\s-\s"))
+        named.append(two.mapInPandas(look_beside, "value string, named string"))
+    parts = reduce(DataFrame.unionByName, named).groupBy("value").agg(F.collect_set("named").alias("named"))
+    values = keep(values.join(parts, "value", "left"), "beside").repartition(tasks)
     found = []
-    for b, o in itertools.product(range(blocks), range(other_blocks)):
-        matcher = spark.sparkContext.broadcast(Matcher(take(own, blocks, b), take(next_to, other_blocks, o)))
+    for block in blocks_of(entries.where(F.col("kind") == kind)):
+        matcher = spark.sparkContext.broadcast(Matcher(block))
 
         def look_up(frames: Iterator[pd.DataFrame], matcher=matcher) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                rows = [(v, e, c) for v in frame["value"] for e, c in matcher.value.candidates(v).items()]
+                rows = [(v, e, c) for v, own in zip(frame["value"], frame["named"]) for e, c in matcher.value.candidates(v, [] if own is None else list(own)).items()]
                 yield pd.DataFrame(rows, columns=["value", "entry_id", "cost"])
 
-        found.append(values.select("value").mapInPandas(look_up, "value string, entry_id bigint, cost double"))
+        found.append(values.mapInPandas(look_up, "value string, entry_id bigint, cost double"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -266,7 +324,7 @@ def map_values(typed: DataFrame, entries: DataFrame, used: DataFrame, kind: str,
     used: (context, name, n), how often a context uses an entry's canonical name; it decides between equal costs.
     """
     distinct = typed.groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"))
-    near = nominate(distinct.select("value").distinct(), entries, kind, beside)
+    near = nominate(distinct, entries, kind, beside)
     named = entries.where(F.col("kind") == kind).select("entry_id", F.lower("canonical_name").alias("name"))
     by_context = used.groupBy("context", F.lower("name").alias("name")).agg(F.sum("n").alias("here"))
     overall = by_context.groupBy("name").agg(F.sum("here").alias("anywhere"))

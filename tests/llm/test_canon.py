@@ -62,27 +62,57 @@ def test_weighted_distance(a, b):
     assert (got == 0) == (a == b) and abs(got - K.weighted_distance(b, a, 99)) < 1e-9
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10**6))
-def test_lookup_finds_all_near_forms(seed):
-    rng = random.Random(seed)
-    d = K.Dictionary(COLUMNS)
-    form = rng.choice(sorted(f for f in d.forms if len(f) >= 8))
+def typed_wrong(rng, form):
+    """A form with up to three edits of all kinds, doubled letters among them."""
     key = list(form)
-    for _ in range(rng.randrange(3)):
+    for _ in range(rng.randrange(4)):
         p = rng.randrange(len(key))
-        kind = rng.randrange(4)
+        kind = rng.randrange(6)
         if kind == 0:
             key[p] = rng.choice("abcxyz")
-        elif kind == 1:
+        elif kind == 1 and len(key) > 2:
             del key[p]
         elif kind == 2:
             key.insert(p, rng.choice("abcxyz"))
-        elif p + 1 < len(key):
+        elif kind == 3 and p + 1 < len(key):
             key[p], key[p + 1] = key[p + 1], key[p]
-    key = "".join(key)
-    expected = {e for f, own in d.forms.items() for e, _, edits in own if K.weighted_distance(key, f, 3) <= min(next(c for n, c in K.ALLOWED if min(len(f), len(key) + 1) <= n), edits) and osa(key, f) <= 2}
-    assert expected <= set(d.near(key))
+        else:
+            key.insert(p, key[p])
+    return "".join(key)
+
+
+def brute_force(d, key):
+    found = {}
+    for form, own in d.forms.items():
+        distance = K.weighted_distance(key, form, 99)
+        for entry, penalty, edits in own:
+            if distance <= min(K.allowed(min(len(form), len(key) + 1)), edits) + 1e-9:
+                found[entry] = min(found.get(entry, 9.0), distance + penalty)
+    return found
+
+
+DICTIONARY = K.Dictionary([*COLUMNS, (9, "SoLuongHangHoa", "Số lượng hàng hóa", "quantity of the goods", "doob;ddb;aabb")])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6))
+def test_lookup_equals_brute_force(seed):
+    rng = random.Random(seed)
+    key = typed_wrong(rng, rng.choice(sorted(DICTIONARY.forms)))
+    assert DICTIONARY.near(key) == pytest.approx(brute_force(DICTIONARY, key))
+
+
+@pytest.mark.parametrize("key", ["ssolluongghanghoa", "soluuonghhanghoaa", "sooluonnghannghoa", "db", "dob", "abb", "ab"])
+def test_doubled_letters(key):
+    assert DICTIONARY.near(key) == pytest.approx(brute_force(DICTIONARY, key)) and 9 in DICTIONARY.near(key)
+
+
+def test_long_names():
+    """Long forms are compared one by one, and the number of forms grows with a label's words, not with their combinations."""
+    words = " ".join(f"wordnumber{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    assert len(K.forms([], [], [words])) < 1000
+    d = K.Dictionary([(1, None, None, words, None)])
+    assert 1 in d.near(words.replace(" ", "").replace("ab", "xb", 1)) and d.near("x" * 5000) == {}
 
 
 def frames(spark, typed, used=()):
