@@ -39,6 +39,12 @@ def _accent_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def base_letters(name: str) -> str:
+    """The letters `remove_accents` leaves, on the driver."""
+    plain = name.translate(str.maketrans(*_accent_table()))
+    return "".join(c for c in plain if unicodedata.category(c)[0] != "M")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once however often the body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -71,27 +77,32 @@ def normalize_key(c: Column | str) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\w\s]", ""), r"(?U)[\s_–-]+", ""), F.lit(""))
 
 
-def _spelled_out(short: str, full: str):
-    """Replaces an abbreviation that is the whole name, or else a word, the end or the beginning of it."""
-    literal, safe = r"\Q" + short + r"\E", full.replace("$", "\\$")
+def expand_abbreviations(cleaned: Column, abbreviations: dict[str, str]) -> Column:
+    """Abbreviations spelled out, in their given order, then separators dropped.
 
-    def replace(c: Column) -> Column:
-        longer = c
-        for pattern in (rf"\b{literal}\b", rf"{literal}$", rf"^{literal}"):
-            longer = F.regexp_replace(longer, pattern, safe)
-        return F.when(c == short, F.lit(full)).otherwise(longer)
+    The detail mark 'ct' counts as a word of its own or in front of letters at the beginning; any other
+    abbreviation counts as a whole word, at the end or at the beginning of the name.
+    """
+    out = F.regexp_replace(cleaned, r"\bct(?:[_\s]+|\b)|^ct(?=[a-z])", "chitiet")
+    for short, full in abbreviations.items():
+        out = let(out, _speller(short.lower(), full.lower()))
+    return F.regexp_replace(out, r"[_\s-]+", "")
 
-    return replace
 
+def _speller(short: str, full: str):
+    """Looks a name's words up, then its end and its beginning."""
+    n = len(short)
 
-def expand_abbreviations(cleaned: Column, abbreviations: dict[str, str]) -> Column:
-    """Abbreviations spelled out, in their given order, then separators dropped."""
-    out = cleaned
-    for pattern in (r"\bct[_\s]+", r"\bct\b", r"^ct(?=[a-z])"):
-        out = F.regexp_replace(out, pattern, "chitiet")
-    for short, full in abbreviations.items():
-        out = let(out, _spelled_out(short.lower(), full.lower()))
-    return F.regexp_replace(out, r"[_\s-]+", "")
+    def words(name: Column) -> Column:
+        return F.array_join(F.transform(F.split(name, r"\b"), lambda w: F.when(w == short, full).otherwise(w)), "")
+
+    def end(name: Column) -> Column:
+        return F.when(name.endswith(short), F.concat(F.left(name, F.length(name) - n), F.lit(full))).otherwise(name)
+
+    def beginning(name: Column) -> Column:
+        return F.when(name.startswith(short), F.concat(F.lit(full), F.substring(name, F.lit(n + 1), F.length(name)))).otherwise(name)
+
+    return lambda name: F.when(name == short, full).otherwise(let(let(words(name), end), beginning))
 
 
 def column_role(c: Column | str) -> Column:

@@ -72,11 +72,11 @@ def date_column(df: DataFrame, column: str) -> Column:
     return F.when(only_dates, F.date_format(stamp, "yyyy-MM-dd")).otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
 
 
-def by_type(c: Column, declared: str, tolerance: float = 0.01, number_as_text: bool = False) -> Column:
-    """The canonical form for a declared type. `number_as_text` keeps the old reading of number and integer as text."""
+def by_type(c: Column, declared: str, tolerance: float = 0.01, number_as_text: bool = False, half_up: bool = False) -> Column:
+    """The canonical form for a declared type. `number_as_text` keeps the old reading of number and integer as text; `half_up` is for ordered outputs."""
     declared = declared.lower()
     if declared in NUMERIC and not (number_as_text and declared in ("number", "integer")):
-        return number(c, 1.0 if declared == "int" else tolerance)
+        return (number_half_up if half_up else number)(c, 1.0 if declared == "int" else tolerance)
     if declared in TEMPORAL:
         return date(c)
     return text(c.cast("string"))

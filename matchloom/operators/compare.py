@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -36,15 +37,14 @@ def _next_row(above: list[int], x: str, b: str) -> list[int]:
     return row
 
 
-def plain_key(name: str) -> str:
-    """Compact key of a column name, on the driver: what `functions.text.normalize_key` computes for a column."""
-    import re
-    import unicodedata
+#: A name: a numbering, the mark of a question, and what it is called. Dashes and dots belong to what stands before them.
+_NAME = re.compile(r"\s*(?P<number>\d+[.\s_–-]*)?(?P<question>cau\s*\d*[.\s_–-]*)?(?P<called>.*)", re.S)
+
 
-    s = "".join(c for c in unicodedata.normalize("NFD", name or "") if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D").lower().strip()
-    s = re.sub(r"^\d+[.\s_–-]*", "", s).strip()
-    s = re.sub(r"^cau\s*\d*[.\s_–-]*", "", s).strip()
-    return re.sub(r"[\s_–-]+", "", re.sub(r"[^\w\s]", "", s))
+def plain_key(name: str | None) -> str:
+    """Compact key of a column name, on the driver: what `functions.text.normalize_key` computes for a column."""
+    called = _NAME.match(text.base_letters(name or "").lower())["called"]
+    return "".join(filter(str.isalnum, called))
 
 
 def resolve_columns(columns: Iterable[str], view: ViewRules, accepted: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -174,8 +174,7 @@ def compare_view(answer: DataFrame, student: DataFrame, view: ViewRules, accepte
     elif view.ordered:
         if ordinal is None:
             raise ValueError("an ordered comparison needs an ordinal column")
-        sides = [canonicalize(df, ViewRules(view.name, [*view.columns], view.sort_by, view.tolerance), accepted if i else None) for i, df in enumerate((answer, student))]
-        keyed = [_with_ordinal(df, side, ordinal, view, accepted if i else None) for i, (df, side) in enumerate(zip((answer, student), sides))]
+        keyed = [_with_ordinal(df, ordinal, view, accepted if i else None) for i, df in enumerate((answer, student))]
         metrics = ordered_metrics(*keyed)
         status = ordered_status(metrics)
     else:
@@ -185,9 +184,9 @@ def compare_view(answer: DataFrame, student: DataFrame, view: ViewRules, accepte
     return out.select(*EMPTY, *[F.lit(";".join(v)).alias(k) for k, v in lists.items()], "status", F.lit("").alias("reason"))
 
 
-def _with_ordinal(df: DataFrame, _: DataFrame, ordinal: str, view: ViewRules, accepted: Mapping[str, str] | None) -> DataFrame:
-    """The canonical columns beside the ordinal, in one projection."""
+def _with_ordinal(df: DataFrame, ordinal: str, view: ViewRules, accepted: Mapping[str, str] | None) -> DataFrame:
+    """The canonical columns beside the ordinal, in one projection; an ordered comparison rounds half up."""
     names = resolve_columns([c for c in df.columns if c != ordinal], view, accepted)
     by_name = {v: k for k, v in names.items()}
-    cols = [canonical.by_type(df[f"`{by_name[c]}`"], t, view.tolerance).alias(c) for c, t, _ in view.columns if c in by_name]
+    cols = [canonical.by_type(df[f"`{by_name[c]}`"], t, view.tolerance, half_up=True).alias(c) for c, t, _ in view.columns if c in by_name]
     return df.select(df[f"`{ordinal}`"].alias("ordinal"), *cols)

@@ -174,7 +174,7 @@ def primary_keys_adequate(
         name = F.lower(F.trim(column))
         hit = name == "id"
         for t in tables:
-            plain, squeezed = F.lower(F.trim(t)), F.regexp_replace(F.regexp_replace(F.lower(t), r"[\s_–-]", ""), r"^\d+[\s.\-_]*", "")
+            plain, squeezed = F.lower(F.trim(t)), F.regexp_replace(F.lower(t), r"^[^\p{L}]*|[^\p{L}\p{N}]+", "")
             for v in (plain, squeezed):
                 for p in rules.surrogate_patterns:
                     if p.lower() != "id":

@@ -30,8 +30,7 @@ KEY_MARKS = ("ma", "id", "code", "key")
 
 def bare_type(c: Column | str) -> Column:
     """Type name alone: lower case, without length and brackets."""
-    s = F.regexp_replace(F.trim(F.lower(F.coalesce(column(c), F.lit("")))), r"\s*\(.*\)\s*$", "")
-    return F.trim(F.regexp_replace(s, r"^\[(.+)\]$", "$1"))
+    return F.trim(F.regexp_extract(F.lower(F.coalesce(column(c), F.lit(""))), r"^\s*\[?([^\[\](]*)", 1))
 
 
 def type_group(c: Column | str) -> Column:

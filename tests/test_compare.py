@@ -153,3 +153,12 @@ def test_counters_and_priorities(spark):
 def test_scope(spark):
     df = spark.createDataFrame([("Cau1", "cau_1"), ("Cau1", "vw Cau1 x"), ("Cau1", "Cau12"), ("a.b", "a.b")], "s string, n string")
     assert [r[0] for r in df.select(S.scope_match(F.col("s"), F.col("n"))).collect()] == [True, True, False, True]
+
+
+def test_ordered_rounds_half_up(spark):
+    """Row by row, numbers are rounded half up; as multisets, half to even."""
+    rules = lambda ordered: ViewRules("v", [("V", "number", ())], ordered=ordered)
+    a = spark.createDataFrame([(0, 0.125)], "ordinal int, V double")
+    s = spark.createDataFrame([(0, 0.13)], "ordinal int, V double")
+    assert C.compare_view(a, s, rules(True), ordinal="ordinal").first()["status"] == "VIEW_PASS"
+    assert C.compare_view(a.drop("ordinal"), s.drop("ordinal"), rules(False)).first()["status"] == "VIEW_VALUE_MISMATCH"

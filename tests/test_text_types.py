@@ -35,6 +35,16 @@ def test_abbreviations(spark):
     assert got == ["chitietmua", "chitiet", "chitiethd", "nhacungcap", "dsnhacungcap", "makhachhang"]
 
 
+def test_abbreviations_inside_names(spark):
+    rules = {"HD": "hoadon", "KH": "khachhang"}
+    got = apply(spark, ["hd_kh", "a hd b", "a_hd_b", "hdkh", "kh", "akhb"], lambda c: T.expand_abbreviations(c, rules))
+    assert got == ["hoadonkhachhang", "ahoadonb", "ahdb", "hoadonkhachhang", "khachhang", "akhb"]
+
+
+def test_bare_types(spark):
+    assert apply(spark, ["NVARCHAR(50)", " [Decimal] (10, 2) ", "int", None, "[datetime]"], Y.bare_type) == ["nvarchar", "decimal", "int", "", "datetime"]
+
+
 def test_roles(spark):
     assert apply(spark, ["MaNV", "TenNV", "NgayLap", "SoLuong", "DonGia", "TongTien", "xyz", None], T.column_role) == ["ma", "ten", "ngay", "soluong", "dongia", "tongtien", None, None]
 
