@@ -32,6 +32,8 @@ KEYS = ("submission_id", "answer_view", "makh")
 FIELDS = ("tenkh", "tongtien", "ngayhd")
 #: Rows a bucket holds on average, degree bound of the first round, further points for verification.
 BUCKET_ROWS, FIRST_BOUND, EXTRA = 32, 8, 2
+#: Degree bound up to which buckets are solved; a bucket holds fewer rows than that on average.
+LAST_BOUND = 512
 #: Hashes a task works on at once.
 TASK_ROWS = 250_000
 #: Points lie above every hash, so no value is zero.
@@ -120,11 +122,11 @@ def _solver(bound: int):
 def reconcile(a: DataFrame, b: DataFrame, tasks: int, bound: int = FIRST_BOUND) -> DataFrame:
     """(bucket, side, element) of what only side 0 or only side 1 has. a, b: `elements`.
 
-    Each round rebuilds sketches of the buckets that are still open; the loop ends as a bound above
-    a bucket's size always suffices.
+    Each round rebuilds sketches of the buckets that are still open. What no bound up to LAST_BOUND solves (buckets with
+    that many differences, or with two equal elements, whose double root no bound splits) is compared element by element.
     """
     done: list[DataFrame] = []
-    while True:
+    while bound <= LAST_BOUND:
         sa, sb = (sketch(s, bound, tasks) for s in (a, b))
         both = sa.withColumnsRenamed({"size": "size_a", "values": "a"}).join(sb.withColumnsRenamed({"size": "size_b", "values": "b"}), "bucket", "full")
         result = keep(both.repartition(tasks, "bucket").mapInArrow(_solver(bound), "bucket int, side int, element bigint"), f"solved-{bound}")
@@ -136,6 +138,8 @@ def reconcile(a: DataFrame, b: DataFrame, tasks: int, bound: int = FIRST_BOUND)
         # changed at run time into one that leaves a bucket's rows in several tasks
         a, b = (keep(s.join(still_open, "bucket", "left_semi"), f"open-{bound}") for s in (a, b))
         bound *= 2
+    only = lambda x, y, side: x.select("bucket", F.lit(side).alias("side"), "element").join(y, ["bucket", "element"], "left_anti").select("bucket", "side", "element")
+    return reduce(DataFrame.unionByName, [*done, only(a, b, 0), only(b, a, 1)])
 
 
 def differing_rows(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEYS, fields: tuple[str, ...] = FIELDS, rows: int | None = None) -> DataFrame:

@@ -110,3 +110,13 @@ def test_many_rounds(spark):
     a, b = [row(f"k{i}") for i in range(300)], [row(f"k{i}", m=3.0) for i in range(300)]
     _, got = found(spark, a, b)
     assert len(got) == 300 and {x[3] for x in got} == {"tongtien"}
+
+
+def test_what_no_bound_solves(spark, monkeypatch):
+    """Buckets beyond the last bound, and one with two equal elements, are compared element by element."""
+    monkeypatch.setattr(R, "LAST_BOUND", 16)
+    frame = lambda rows: spark.createDataFrame(rows, "bucket int, element bigint")
+    a = frame([(0, i) for i in range(40)] + [(1, 7), (1, 7), (1, 9)] + [(2, 3)])
+    b = frame([(0, i) for i in range(38, 41)] + [(1, 9)] + [(2, 3)])
+    got = {tuple(r) for r in R.reconcile(a, b, 2).select("bucket", "side", "element").collect()}
+    assert got == {(0, 0, i) for i in range(38)} | {(0, 1, 40), (1, 0, 7)}
