@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from matchloom.llm import canon, entity as E
@@ -168,6 +169,95 @@ def test_keys_of_names():
     assert names.keys("column", "s", "!") == [] and len(names.keys("column", "s", "x" * 3000)) == 1
 
 
+def trained(spark, path, columns, entries=ENTRIES):
+    write(spark, path, columns, [], entries)
+    return E.train(E.records(spark, str(path)), E.known_tables(spark, str(path)), [tuple(e) for e in entries])
+
+
+def words(n, letters="bcdfghkl"):
+    """n distinct words of five letters."""
+    return ["".join(letters[k // len(letters) ** i % len(letters)] for i in range(5)) for k in range(n)]
+
+
+def test_every_record_counts(spark, tmp_path):
+    """The weights of tokens come from all distinct records, however many there are, and of copies once."""
+    names = words(4200)
+    columns = [(k, f"S{k % 50}", "A", None, "sv", None, name, None, "int", 1, 0) for k, name in enumerate(names)]
+    columns += [(10_000 + k, "copy", *c[2:]) for k, c in enumerate(columns[:100])]
+    columns += [(20_000 + k, f"S{k}", "A", "SinhVien", "sv", name[::-1], name, "int", "int", 1, 0) for k, name in enumerate(names[:20])]
+    entry = ENTRIES[:1]
+    weights = trained(spark, tmp_path, columns, entry).space.weights
+    records = [E.side_tokens(name, "int", None) for name in names]
+    records += [E.side_tokens(name, "int", "SinhVien") + E.side_tokens(name[::-1], None, None) for name in names[:20]]
+    records.append([(t, 0) for label in (*entry[0][2:5], *(entry[0][5] or "").split(";")) if label for t in E.name_tokens(label)] + [(f"w:{canon.telex(w, False)}", 0) for w in (entry[0][3] or "").split()])
+    degree = np.bincount([t for r in records for t in {E._id(t) for t, _ in r}], minlength=E.TOKENS)
+    assert np.allclose(weights, 1 / np.sqrt(1 + degree))
+
+
+def test_calibration_takes_every_known_row(spark, tmp_path):
+    """The weights are those fitted on all pairs of a group's 40 two-sided rows, its other answers weighing OTHERS rows together."""
+    rng = random.Random(4)
+    names = words(40)
+    columns = [(k, "S", "A", "T", "sv", name, name[:4] + rng.choice("xz") if k % 3 else "zz" + name[2:], "int", rng.choice(["int", "text"]), k, 0) for k, name in enumerate(names)]
+    model = trained(spark, tmp_path, columns)
+    side = lambda c, m: {"name": c[6 if m == "s" else 5], "kind": c[8 if m == "s" else 7], "own_table": "T", "n1": c[9], "n2": c[10]}
+    x, y = [], []
+    for s in columns:
+        for a in columns:
+            left, right = side(s, "s"), side(a, "a")
+            cosine = float(model.space.vector(model.tokens(left)) @ model.space.vector(model.tokens(right)))
+            times = 20 if s is a else 3  # 1 and 6 of 40
+            x += times * [E.features("column", model.names, left, right, cosine)]
+            y += times * [float(s is a)]
+    expected = E.fit_logistic(np.array(x), np.array(y), l2=20 * 1e-2)
+    assert np.allclose(model.weights["column_mapping_report"], expected, atol=1e-3)
+
+
+def test_rows_of_a_large_group_all_count(spark, tmp_path, monkeypatch):
+    """Every row of a group that is cut into blocks is a known pair once, and so is a copy; rows without a submission count too."""
+    names = words(150)
+    columns = [(k, "S", "A", "T", "sv", name, name[::-1], "int", "int", 1, 0) for k, name in enumerate(names)]
+    columns += [(1000, *columns[0][1:]), (1001, None, *columns[1][2:])]
+    write(spark, tmp_path, columns, [])
+    both = E.records(spark, str(tmp_path)).where("side LIKE 'both-%'")
+    graph = [E.side_tokens(n, None, None) for n in names]
+    for block in (20, 64, 1000):
+        monkeypatch.setattr(E, "KNOWN_BLOCK", block)
+        pairs = E.known_pairs(both, E.known_tables(spark, str(tmp_path)), E.Model(E.Space(graph), E.Names(ENTRIES))).toPandas()
+        assert pairs.loc[pairs["y"] == 1, "n"].sum() == len(columns)
+        assert 4.5 * len(names) <= pairs.loc[pairs["y"] == 0, "n"].sum() <= E.OTHERS * len(columns)
+
+
+def test_blocks_of_the_graph(spark, tmp_path, monkeypatch):
+    """Vectors trained in many blocks bring names together as those of one block do, and are the same each time."""
+    rng = random.Random(5)
+    columns = [(k, f"S{k}", "A", "SinhVien", "sv", n, rng.choice([vi, en, n.lower(), vi.upper()]) + rng.choice(["", "1", "x"]), "int", "int", 1, 0) for k, (n, vi, en) in enumerate(NAMES * 40)]
+    write(spark, tmp_path, columns, [])
+    rows = E.records(spark, str(tmp_path))
+    for size in (10**6, 20):
+        monkeypatch.setattr(E, "BLOCK_RECORDS", size)
+        space = E.trained_space(rows, ENTRIES)
+        v = lambda n: space.vector(E.side_tokens(n, None, None))
+        for n, vi, en in NAMES:
+            others = [v(m) for m, *_ in NAMES if m != n]
+            assert v(en) @ v(n) > np.mean([v(en) @ o for o in others])
+    again = E.trained_space(rows, ENTRIES)
+    assert np.array_equal(space.vectors, again.vectors) and np.array_equal(space.weights, again.weights)
+
+
+def test_more_of_the_same_gives_the_same_weights(spark):
+    rng = np.random.default_rng(2)
+    n = 400
+    base = {"report": ["column_mapping_report"] * n, "cosine": rng.random(n), "cost": 4 * rng.random(n), **{c: rng.integers(-1, 2, n).astype(float) for c in ("other", "near", "second", "kinds", "tables")}}
+    base["y"] = (rng.random(n) < 1 / (1 + np.exp(base["cost"] - 3 * base["cosine"]))).astype(float)
+    pairs = lambda k: spark.createDataFrame(pd.DataFrame(base | {"n": np.full(n, float(k))})).repartition(3)
+    once, often = (E.newton_by(pairs(k), 1e-2 * k)["column_mapping_report"] for k in (1, 50))
+    cost = base["cost"]
+    x = np.column_stack([np.ones(n), base["cosine"], cost, np.minimum(cost, 1), cost >= E.FOREIGN, *[base[c] for c in ("other", "near", "second", "kinds", "tables")]])
+    assert np.allclose(once, E.fit_logistic(x, base["y"]), atol=1e-6) and np.allclose(once, often, atol=1e-6)
+    assert E.newton_by(pairs(1).where("y = 1")) == {}
+
+
 def test_reliability():
     assert E.reliability([(0.05, 0), (0.95, 1), (1.0, 1), (0.96, 0)]) == [(0.05, 0.0, 1), (pytest.approx(0.97), pytest.approx(2 / 3), 3)]
 
